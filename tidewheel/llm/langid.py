@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.llm.common import as_bytes, slices
 
@@ -245,8 +246,8 @@ class Scorer:
         return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
 
-def predictor(spark: SparkSession, model: Model, keep: list[str], schema: str):
-    """A mapInArrow function: the columns in keep, then lang_pred and score from the column text."""
+def _predictor(spark: SparkSession, model: Model, keep: list[str], names: tuple[str, str]):
+    """A mapInArrow function: the columns in keep, then the language and score of the column text."""
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages
     held: dict[str, Scorer] = {}
 
@@ -255,20 +256,19 @@ def predictor(spark: SparkSession, model: Model, keep: list[str], schema: str):
         for batch in slices(batches):
             said = [scorer.predict(x) for x in as_bytes(batch.column("text"))]
             columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*keep, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, lang_pred and score of every row of docs.
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, then lang_pred and score (under ``names``) of every row of docs.
 
     lang_pred is a learned language, or ``und`` with score 0 if text is null or has no letter
     (or nothing could be learned). score is the language's posterior under equal priors.
     Every row is scored by itself: repeated rows, ties and null ids change nothing; on a tie
     the first language in code-point order is returned. A text of any length is read whole.
     """
-    carried = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields) + ", lang_pred string, score double"
+    fields = [*docs.select(*keep).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    return rows.mapInArrow(predictor(docs.sparkSession, model, list(keep), schema), schema)
+    return rows.mapInArrow(_predictor(docs.sparkSession, model, list(keep), names), T.StructType(fields))
