@@ -76,36 +76,79 @@ def has_letter(text: str) -> bool:
     return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
+class Trie:
+    """Pieces by prefix: a hash table of (node, character) steps that arrays of places walk together."""
+
+    def __init__(self, pieces: list[str]):
+        steps: dict[tuple[int, int], int] = {}
+        self.ids = len(pieces)
+        ends = {}
+        for i, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                node = steps.setdefault((node, ord(c)), len(steps) + 1)
+            ends[node] = i
+        self.end = np.full(len(steps) + 1, -1, dtype=np.int32)
+        self.end[list(ends)] = list(ends.values())
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.next = np.zeros(1 << self.bits, dtype=np.int32)
+        keys = np.array([n << 21 | c for n, c in steps], dtype=np.int64)
+        slots = self._slot(keys).tolist()
+        for key, slot, node in zip(keys.tolist(), slots, steps.values(), strict=True):
+            while self.keys[slot] != -1:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.next[slot] = key, node
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes after one more character, -1 where no piece goes on so."""
+        keys = nodes.astype(np.int64) << 21 | chars
+        slot, out = self._slot(keys), np.full(len(keys), -1, dtype=np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            here = self.keys[slot[todo]]
+            hit = here == keys[todo]
+            out[todo[hit]] = self.next[slot[todo[hit]]]
+            todo = todo[~hit & (here != -1)]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 class Lattice:
-    """All segmentations of many words at once: an edge for each piece at each place."""
-
-    def __init__(self, words: list[bytes], ids: dict[str, int]):
-        unknown = len(ids)
-        part_word, edges = [], []
-        n = 0
-        for w, word in enumerate(words):
-            text = START + word.decode("utf-8", "replace")
-            for at in range(0, len(text), PART):
-                part = text[at : at + PART]
-                part_word.append(w)
-                size = len(part)
-                for i in range(size):
-                    for j in range(i + 1, min(size, i + LONGEST) + 1):
-                        k = ids.get(part[i:j])
-                        if k is not None:
-                            edges.append((j, i, n, k))
-                        elif j == i + 1:
-                            edges.append((j, i, n, unknown))
-                edges.append((PART + 1, size, n, -1))
-                n += 1
-        e = np.array(edges, dtype=np.int32).reshape(-1, 4)
-        last = e[:, 0] == PART + 1
-        self.words, self.parts = len(words), n
-        self.part_word = np.array(part_word, dtype=np.int64)
-        self.size = np.zeros(n, dtype=np.int64)
-        self.size[e[last, 2]] = e[last, 1]
-        e = e[~last]
-        self.edges = e[np.argsort(e[:, 0], kind="stable")]
+    """All segmentations of many words at once: an edge (end, begin, part, piece) for each piece at each place."""
+
+    def __init__(self, words: list[bytes], trie: Trie):
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
+        marked = [START + x for x in texts]
+        if max(map(len, marked), default=0) > PART:
+            parts = [(w, x[i : i + PART]) for w, x in enumerate(marked) for i in range(0, len(x), PART)]
+            self.part_word, marked = np.array([w for w, _ in parts], dtype=np.int64), [x for _, x in parts]
+        else:
+            self.part_word = np.arange(len(marked))
+        self.words, self.parts = len(words), len(marked)
+        self.size = np.fromiter(map(len, marked), np.int64, len(marked))
+        chars = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        part = np.repeat(np.arange(self.parts), self.size)
+        place = np.arange(len(chars)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        room = self.size[part] - place
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64), []
+        for n in range(1, LONGEST + 1):
+            node = trie.step(node, chars[at + n - 1])
+            ids = np.where(node >= 0, trie.end[node], -1)
+            if n == 1:
+                ids = np.where(ids < 0, trie.ids, ids)
+            hit = ids >= 0
+            here = at[hit]
+            found.append(np.stack([place[here] + n, place[here], part[here], ids[hit]], axis=1))
+            on = (node >= 0) & (room[at] > n)
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        e = np.concatenate(found) if found else np.zeros((0, 4), dtype=np.int64)
+        self.edges = e[np.argsort(e[:, 0] * max(1, self.parts) + e[:, 2], kind="stable")]
         self.cuts = np.searchsorted(self.edges[:, 0], np.arange(PART + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -154,14 +197,14 @@ def _smoothed(uses: np.ndarray) -> np.ndarray:
 
 def fit(counts: dict[bytes, np.ndarray], languages: list[str], pieces: list[str], rounds: int = 4, block: int = 4096) -> Model:
     """Piece probabilities from each word's count in each language."""
-    ids = {x: i for i, x in enumerate(pieces)}
+    trie = Trie(pieces)
     words = sorted(counts)
     table = np.array([counts[w] for w in words], dtype=float).reshape(len(words), len(languages))
     p = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
     for _ in range(rounds):
         uses = np.zeros_like(p)
         for at in range(0, len(words), block):
-            uses += Lattice(words[at : at + block], ids).expected(p, table[at : at + block])
+            uses += Lattice(words[at : at + block], trie).expected(p, table[at : at + block])
         p = _smoothed(uses)
     return Model(languages, pieces, p)
 
@@ -212,7 +255,7 @@ class Scorer:
     """Scores texts; keeps the words it has met, up to CACHE_WORDS."""
 
     def __init__(self, model: Model):
-        self.ids = {x: i for i, x in enumerate(model.pieces)}
+        self.trie = Trie(model.pieces)
         self.languages, self.p = model.languages, model.p
         self.at: dict[bytes, int] = {}
         self.logs = np.zeros((1024, len(self.languages)))
@@ -223,7 +266,7 @@ class Scorer:
             n = len(self.at)
             while len(self.logs) < n + len(part):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[n : n + len(part)] = Lattice(part, self.ids).log_scores(self.p)
+            self.logs[n : n + len(part)] = Lattice(part, self.trie).log_scores(self.p)
             self.at.update(zip(part, range(n, n + len(part)), strict=True))
 
     def logs_of(self, text: bytes) -> tuple[np.ndarray, int]:
