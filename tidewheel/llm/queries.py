@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import langid, line_dedup, mixing, packing, secrets, simhash, token_files
+from tidewheel.llm import bm25, langid, line_dedup, mixing, packing, secrets, simhash, substring_dedup, token_files, vector_dedup
 from tidewheel.llm.common import sha256_utf8
 
 
@@ -37,10 +37,22 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    kept = substring_dedup.without(docs, substring_dedup.repeated_intervals(docs))
+    return kept.select("doc_id", "n_words", "n_removed", sha256_utf8(F.col("kept")).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).taken()
 
 
+def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    asked = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25.search(docs, asked).select("query_id", "rank", "doc_id", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     kept = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
@@ -53,6 +65,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+OP7 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+')) AS term
+  FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS dl FROM counts GROUP BY doc_id),
+total AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM lengths) / (SELECT count(*) FROM documents) AS mean),
+weights AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM counts, total GROUP BY term, n),
+scores AS (
+  SELECT q.doc_id AS query_id, c.doc_id, round(sum(q.tf * idf * c.tf * 2.2 / (c.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM counts q JOIN counts c USING (term) JOIN weights USING (term) JOIN lengths l ON l.doc_id = c.doc_id, total
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP8 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
@@ -76,11 +109,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_mixing": op6_mixing,
+        "op7_top_k_search": op7_top_k_search,
         "op8_line_dedup": op8_line_dedup,
         "op9_language_id": op9_language_id,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8}
+    return {"op7_top_k_search": OP7, "op8_line_dedup": OP8}
