@@ -150,13 +150,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     return per_doc.mapInArrow(_bitmaps, "doc_id long, text_key long, n_lines long, keep binary")
 
 
-def _apply(names: list[str]):
+def _apply(names: list[str], added: tuple[str, str]):
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, n, dropped = [], [], []
-            for text, packed in zip(as_bytes(batch.column("text")), batch.column("keep").to_pylist(), strict=True):
+            for text, packed in zip(as_bytes(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 n.append(len(lines))
                 if packed is None:
@@ -166,20 +166,19 @@ def _apply(names: list[str]):
                 keep = np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8), count=len(lines)).tolist()
                 kept.append(b"\n".join(x for x, k in zip(lines, keep, strict=True) if k))
                 dropped.append(len(lines) - sum(keep))
-            columns = [batch.column(c) for c in names]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array([None if x is None else x.decode("utf-8", "replace") for x in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *added])
 
     return run
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the lines that a bitmap drops taken out of text, and columns n_lines (before) and n_dropped.
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the lines that a bitmap drops taken out of text, then the lines before and the lines dropped.
 
-    Columns of docs with these two names are replaced.
+    ``added`` names the two new columns; docs must not have columns of these names.
     """
-    docs = docs.drop("n_lines", "n_dropped", "keep")
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "keep")
-    joined = docs.join(marks, same(docs["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left").select(*[docs[c] for c in docs.columns], "keep")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_apply(docs.columns), schema)
+    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("keep").alias("_tidewheel_keep"))
+    joined = docs.join(marks, same(docs["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left").select(*[docs[c] for c in docs.columns], "_tidewheel_keep")
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType())])
+    return joined.mapInArrow(_apply(docs.columns, added), schema)

@@ -210,7 +210,7 @@ def _texts(names: list[str]):
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         for batch in slices(batches):
             take, out = [], []
-            for i, (text, takes) in enumerate(zip(as_bytes(batch.column("text")), batch.column("takes").to_pylist(), strict=True)):
+            for i, (text, takes) in enumerate(zip(as_bytes(batch.column("text")), batch.column("_tidewheel_takes").to_pylist(), strict=True)):
                 spans = None
                 for one in takes:
                     ranges = _merged(one["ranges"])
@@ -247,9 +247,9 @@ def mixed_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """
     row = ["doc_id", "text_key", "sid", "bucket", "start", "epoch"]
     each = mixture.sequence().groupBy(*row, "size").agg(F.collect_list(F.struct("first", "words")).alias("ranges"))
-    takes = each.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("ranges", "size")).alias("takes"))
-    base = docs.drop("takes")
+    takes = each.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("ranges", "size")).alias("_tidewheel_takes"))
+    base = docs
     if not mixture.pieces.select("doc_id", "text_key", "sid", "bucket", "start").distinct().groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         base = base.dropDuplicates(["doc_id", "text"])
-    joined = base.join(takes, same(base["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(base["text"]) == F.col("_key"))).select(*[base[c] for c in base.columns], "takes")
+    joined = base.join(takes, same(base["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(base["text"]) == F.col("_key"))).select(*[base[c] for c in base.columns], "_tidewheel_takes")
     return joined.mapInArrow(_texts(base.columns), T.StructType(base.schema.fields))

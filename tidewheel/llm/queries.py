@@ -23,7 +23,7 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
+    counts = [secrets.count_of(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
     return found.select("doc_id", *counts, sha256_utf8(secrets.listed(base)).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 

@@ -179,14 +179,22 @@ def scan(docs: DataFrame, rate: float = 0.001) -> DataFrame:
         _matches(F.col("text"), "[0-9a-f]{%d,}" % HEX_LEAST, "[0-9a-f]{%d,}" % HEX_LEAST, HEX_LEAST).alias("hex"),
         _matches(F.col("text"), TOKEN, TOKEN, 0).alias("tokens"),
     )
-    base = [F.transform(name, lambda c, k=k: F.struct(c["s"].alias("s"), F.lit(k).alias("kind"), c["e"].alias("e"))) for k, name in enumerate(KINDS[:3])]
+    base = [_of_kind(F.col(name), k) for k, name in enumerate(KINDS[:3])]
     held = stored(found.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), _judged(F.col("tokens")).alias("tokens")), "secrets")
     histogram = held.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").count().collect()
     least = least_bins([tuple(r) for r in histogram], rate)
-    random = F.transform(F.filter("tokens", lambda t: t["bin"] >= _of_encoding(t["stratum"], least)), lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS) - 1).alias("kind"), t["e"].alias("e")))
+    random = _of_kind(F.filter("tokens", lambda t: t["bin"] >= _of_encoding(t["stratum"], least)), len(KINDS) - 1)
     return held.select("doc_id", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda c: F.struct(c["s"].alias("s"), F.lit(kind).alias("kind"), c["e"].alias("e")))
+
+
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")

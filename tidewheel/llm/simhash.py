@@ -65,15 +65,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [signed(fingerprint(x, shingle)) for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            texts = as_bytes(batch.column("text"))
+            found = [signed(fingerprint(x, shingle)) for x in texts]
+            keys = [SEED if x is None else signed(xxhash.xxh64_intdigest(x, SEED)) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "text_key", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of every row's whole text, as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """(doc_id, text_key, fp): xxhash64 and the 64-bit SimHash of every row's whole text, as signed longs."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, fp long")
 
 
 # In each 32-bit half, bits 2i and 2i+1 are segment i. A cell is the half's 16 counts, 2 bits each.
@@ -207,28 +209,32 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the least doc_id reachable by links.
+    """(doc_id, text_key, fp, group_fp, component_id) of every row: component_id is the least doc_id reachable by links.
 
     Fingerprints within ``distance`` bits are linked; null, empty and wordless texts share
     fingerprint 0 and are linked to each other and to whatever is near 0. Repeated rows and ties
     share their fingerprint's component. Rows without a doc_id take part in links; component_id is
-    null only where no row of the group has an id.
+    null only where no row of the group has an id; group_fp is the group's least fingerprint.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct.select("fp"), distance))
     linked = found.join(distinct, F.col("node") == F.col("fp")).select("node", "component", "least")
     named = stored(linked.groupBy("component").agg(F.min("least").alias("first")), "named")
-    owners = stored(linked.select("node", F.col("component").alias("_component")).join(named, F.col("_component") == F.col("component")).select("node", "first"), "owners")
-    classes = distinct.join(owners, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.when(F.col("node").isNotNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(stored(classes, "classes"), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    owners = stored(linked.select("node", F.col("component").alias("_component")).join(named, F.col("_component") == F.col("component")).select("node", "component", "first"), "owners")
+    classes = distinct.join(owners, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("group_fp"), F.when(F.col("node").isNotNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(stored(classes, "classes"), F.col("fp") == F.col("_fp")).select("doc_id", "text_key", "fp", "group_fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group: one document of each group stays.
+    """The rows of docs of which one of each group stays: the one with the least doc_id.
 
-    Rows without an id stay if no row of their group has one. Rows that repeat a kept doc_id
-    stay with it, as they are the same document.
+    Where that doc_id has several texts in the group, the one with the least text hash stays;
+    a row that repeats doc_id and text stays once. In a group without any doc_id the least
+    text hash decides.
     """
-    roots = group(docs, shingle, distance).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(roots, same(docs["doc_id"].cast("long"), F.col("_doc")), "left_semi")
+    firsts = group(docs, shingle, distance).where(same(F.col("doc_id"), F.col("component_id")))
+    rows = stored(firsts.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("n")), "firsts")
+    chosen = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "doc_id")).alias("c")).select(F.col("c.doc_id").alias("_doc"), F.col("c.text_key").alias("_key"))
+    kept = docs.join(chosen, same(docs["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_semi")
+    return kept if rows.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
