@@ -1,5 +1,9 @@
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -55,3 +59,12 @@ def test_streams(spark, tmp_path):
     query.stop()
     found = {r["start"].minute: (r["total"], r["n"]) for r in spark.table("sums").collect()}
     assert found == {m: (2.0 * sum(range(60 * m, 60 * m + 60)), 60) for m in range(5)}
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """The rest works when their subpackage and the pipeline are gone."""
+    repo = Path(entry.__file__).parent
+    shutil.copytree(repo / "tidewheel", tmp_path / "tidewheel", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not [n for n in q if n.startswith('op') and n[2].isdigit()]; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
