@@ -151,14 +151,17 @@ class Mixture:
     #: (source, size, target, blocks, blocks taken) of each source.
     sources: list[tuple]
 
+    # Both sides grow with the corpus, but the planner sees only the few rows that they are
+    # generated from and would broadcast them; hence the hints.
+
     def sequence(self) -> DataFrame:
         """The mix: shard, slot, and the words [first, first + words) of a document that stand there, in order of start."""
-        return self.slots.join(self.pieces, ["sid", "block"])
+        return self.slots.join(self.pieces.hint("merge"), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and taken (words, repeats counted) of every row."""
         row = ["doc_id", "sid", "bucket", "start", "size", "source_size", "target"]
-        met = self.pieces.join(self.slots, ["sid", "block"], "left")
+        met = self.pieces.join(self.slots.hint("merge"), ["sid", "block"], "left")
         summed = met.groupBy(*row).agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken"))
         kept = ["doc_id", "size", "source_size", "target", "taken"]
         return summed.select(*kept).union(self.empty.withColumn("taken", F.lit(0).cast("long")).select(*kept))
