@@ -1,7 +1,11 @@
+import hashlib
 import random
 
 import corpus_pipeline
 from tests.llm.conftest import EDGES, text_of
+from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tidewheel.llm import mixing
 
 
 def packed(rows):
@@ -35,6 +39,17 @@ def test_stages_and_run(spark, make, table):
     # documents without a letter go, all others stay
     assert sorted((r["text"] for r in identified)) == sorted(r[1] for r in rows if any(c.isalpha() for c in r[1] or ""))
     assert len(lines) == len(identified) and sum("a line that very many" in r["text"] for r in lines) == 1
+    # lines and groups as brute force has them, each from the rows that the stage before kept
+    as_hash = sorted(((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in lines), key=str)
+    assert as_hash == sorted(((r[0], r[3]) for r in brute_lines([(r["doc_id"], r["text"]) for r in identified])), key=str)
+    classes = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in lines])
+    assert {r["doc_id"] for r in groups} == {d for d, _, c in classes if d == c}
+    # the mix takes what its plan says
+    plan = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(spark.read.parquet(f"{folder}/simhash_dedup.parquet")).taken().collect()}
+    taken = {}
+    for r in mixed:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(r["text"].encode().split())
+    assert taken == {d: n for (d, _), n in plan.items() if n}
     # of the copies, the last kept its lines; the others are one group
     copies = [r["doc_id"] for r in groups if r["doc_id"] is not None and 2000 <= r["doc_id"] < 3000]
     assert copies in ([2029], []) and len({r["doc_id"] for r in groups}) == len(groups)

@@ -5,14 +5,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidewheel.sources.shared import fresh_path, shared_dir, stored
+
+__all__ = ["as_bytes", "discard", "fresh_path", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored"]
 
 #: Rows that Python code holds as objects at a time.
 SLICE_ROWS = 256
@@ -20,32 +21,6 @@ SLICE_ROWS = 256
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session gets a temporary folder; a cluster must name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidewheel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame | None) -> None:
     """Deletes a stored() table that nothing reads any more."""
     if df is None:
@@ -54,16 +29,11 @@ def discard(df: DataFrame | None) -> None:
     conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for parent in parents:
-        if "/tidewheel/" in parent:
+        if f"/tidewheel/{df.sparkSession.sparkContext.applicationId}/" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
 
 
-def text_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; extra columns, whatever their names, never reach the operator."""
-    return docs.select(*names)
-
-
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A table of driver-made rows, broadcast in joins if its row count is checked to be small."""
     df = spark.createDataFrame(list(rows), schema)
@@ -94,7 +64,3 @@ def sha256_utf8(column: Column) -> Column:
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
-
-
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
