@@ -132,6 +132,8 @@ class Series:
         """A hint for how many tasks should run at once (1 at least); results do not depend on it."""
         return Series(self._node, self._spark, self._batch_bytes, max(1, n))
 
+    with_threads = with_parallelism
+
     # maps
 
     def map(self, f: Callable[[Column], Column], dtype: str | D.DType | None = None) -> Series:
