@@ -5,15 +5,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import gc
+from collections.abc import Callable, Iterator, Sequence
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.sources.shared import fresh_path, shared_dir, stored
 
-__all__ = ["as_bytes", "discard", "fresh_path", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored"]
+__all__ = ["as_bytes", "discard", "fresh_path", "packed", "packed_texts", "release", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "text_slices", "unpacked"]
+
+T = TypeVar("T")
 
 #: Rows that Python code holds as objects at a time.
 SLICE_ROWS = 256
@@ -46,12 +52,65 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, but for a longer single text, ``size`` bytes in the column text."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def packed(text: bytes | None) -> bytes | None:
+    """A text on its way through a shuffle: its length and its zstd frame, well under the shuffle codec's size."""
+    return None if text is None else len(text).to_bytes(8, "little") + _ZSTD.compress(text, asbytes=True)
+
+
+def unpacked(body: bytes | None) -> bytes | None:
+    if body is None:
+        return None
+    return _ZSTD.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), asbytes=True)
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, body) of rows of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packed(x) for x in as_bytes(batch.column("text"))], pa.binary())], names=["doc_id", "body"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, body binary")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """The one large object that a Python worker keeps from task to task; another key replaces it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def signed(value: int) -> int:
     """An unsigned 64-bit number as Spark's long of the same bits."""
     return value - (1 << 64) if value >= 1 << 63 else value

@@ -5,13 +5,19 @@ hash from running sums, all windows of a text at once. Spark counts the windows:
 the least and the largest doc_id that holds it. A window repeats if a smaller doc_id holds
 it, and repeated windows that touch merge into maximal intervals.
 
-Most windows occur once, and they need not be shuffled to know it: a window's mark is the
-least hash of its runs of ``GRAM`` words. Equal windows have equal marks, so a window whose mark
-occurs in one document only cannot repeat. Marks are counted first (about one for 18 windows)
-and only windows with a repeated mark are counted, which changes no result.
-
-Counts combine on the map side, and the joins that bring a hash's documents their answer are plain
-sort-merge joins of tables, which AQE splits where a passage is very common.
+Most windows need not be shuffled to be counted. A window's mark is the least hash of its
+sequences of ``GRAM`` words; equal windows have equal marks, and consecutive windows that share a
+mark are a run. Three steps give the same answer as counting every window:
+
+* a run whose mark occurs in one document only repeats nothing;
+* a run that is equal, window for window, to one of a smaller document repeats as a whole, and
+  only the least document that holds it stands for it from here on;
+* what is left are marks with several different runs; their windows are counted one by one.
+
+Texts meet what was found in them by sort and merge at every size: that side grows with the
+corpus and is never broadcast. Counts combine on the map side, and the joins that bring a
+hash's documents their answer are plain joins of tables, which AQE splits where a passage is
+very common.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import as_bytes, discard, slices, stored
+from tidewheel.llm.common import as_bytes, discard, packed_texts, release, slices, stored, unpacked
 
 WINDOW = 50
 GRAM = 16
@@ -69,6 +75,10 @@ class Rolling:
             return np.zeros(0, dtype=np.uint64)
         return _mixed((self.sums[width:] - self.sums[:-width]) * self.powers[width - 1 :])
 
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words begin .. end - 1 of each pair; equal words give equal hashes wherever they stand."""
+        return _mixed((self.sums[end] - self.sums[begin]) * self.powers[end - 1])
+
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each run of width values, by running minima from both ends of blocks."""
@@ -93,37 +103,49 @@ def _tag(text: bytes) -> int:
     return (_digest(text, 42) & 0x7FFFFFFF) << 32
 
 
-def _marks(window: int, gram: int):
+def _runs(window: int, gram: int):
+    """(mark, run, n, doc_id, at) of all runs: run hashes the words that n windows from at on cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, found = [], []
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 words = text.split()
-                if len(words) >= window:
-                    own = np.unique(marks(Rolling(word_hashes(words)), window, gram))
-                    found.append(own)
-                    ids.append(np.full(len(own), doc, dtype=np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["mark", "doc_id"])
+                if len(words) < window:
+                    continue
+                rolling = Rolling(word_hashes(words))
+                own = marks(rolling, window, gram)
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                after = np.r_[first[1:], len(own)]
+                out[0].append(own[first])
+                out[1].append(rolling.spans(first, after + window - 1).view(np.int64))
+                out[2].append((after - first).astype(np.int32))
+                out[3].append(np.full(len(first), doc, dtype=np.int64))
+                out[4].append(first + _tag(text))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["mark", "run", "n", "doc_id", "at"])
 
     return run
 
 
-def _windows(window: int, gram: int):
+def _windows(window: int):
+    """(h1, h2, doc_id, at) of the windows in the runs asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text, repeated in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("marks"), strict=True):
-                words = text.split()
-                hashes = word_hashes(words)
-                rolling = Rolling(hashes)
-                at = np.flatnonzero(np.isin(marks(rolling, window, gram), repeated.values.to_numpy(zero_copy_only=False)))
-                if len(at):
-                    second = Rolling(_mixed(hashes))
-                    out[0].append(rolling.windows(window)[at].view(np.int64))
-                    out[1].append((second.windows(window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    out[2].append(np.full(len(at), doc, dtype=np.int64))
-                    out[3].append(at + _tag(text))
+            for doc, body, asked in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                text = unpacked(body)
+                tag = _tag(text)
+                own = [(r["at"] - tag, r["n"]) for r in asked if r["at"] >> 32 == tag >> 32]
+                if not own:
+                    continue
+                hashes = word_hashes(text.split())
+                at = np.unique(np.concatenate([np.arange(a, a + n) for a, n in own]))
+                out[0].append(Rolling(hashes).windows(window)[at].view(np.int64))
+                out[1].append((Rolling(_mixed(hashes)).windows(window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                out[2].append(np.full(len(at), doc, dtype=np.int64))
+                out[3].append(at + tag)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h1", "h2", "doc_id", "at"])
 
@@ -131,16 +153,19 @@ def _windows(window: int, gram: int):
 
 
 def _intervals(window: int):
-    """Merges the places of repeated windows of a document into maximal intervals of words, text by text."""
+    """Merges the repeated windows of a document into maximal intervals of words, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags, firsts = [], [], []
             for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places"), strict=True):
-                at = np.unique(places.values.to_numpy(zero_copy_only=False))
-                starts = np.flatnonzero(np.r_[True, np.diff(at) > window])
-                ends = np.r_[starts[1:] - 1, len(at) - 1]
-                for a, b in zip(at[starts].tolist(), at[ends].tolist(), strict=True):
+                fields = places.values
+                at, n = (fields.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
+                order = np.argsort(at, kind="stable")
+                at, end = at[order], np.maximum.accumulate((at + n - 1)[order])  # first and last window; tags do not mix
+                starts = np.flatnonzero(np.r_[True, at[1:] - end[:-1] > window])
+                last = end[np.r_[starts[1:] - 1, len(at) - 1]]
+                for a, b in zip(at[starts].tolist(), last.tolist(), strict=True):
                     docs.append(doc)
                     tags.append(a >> 32)
                     firsts.append((a & 0xFFFFFFFF, b - a + window))
@@ -159,17 +184,30 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     apart. Repeated rows share their intervals.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = stored(rows.mapInArrow(_marks(window, gram), "mark long, doc_id long"), "marks")
+    found = stored(rows.mapInArrow(_runs(window, gram), "mark long, run long, n int, doc_id long, at long"), "runs")
     twice = stored(found.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark"), "twice")
-    per_doc = stored(found.join(twice, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "per-doc")
-    windows = stored(rows.join(per_doc, "doc_id").mapInArrow(_windows(window, gram), "h1 long, h2 int, doc_id long, at long"), "windows")
-    for old in (found, twice, per_doc):
-        discard(old)
-    owners = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner"), "owners")
-    hits = windows.join(owners, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "at")
-    merged = stored(hits.groupBy("doc_id").agg(F.collect_list("at").alias("places")).mapInArrow(_intervals(window), "doc_id long, tag long, first long, words long"), "intervals")
-    for old in (windows, owners):
+    runs = stored(found.join(twice, "mark"), "repeated-marks")
+    discard(found)
+    del found
+    release(docs.sparkSession)
+    key = ["mark", "run", "n"]
+    owners = stored(runs.groupBy(*key).agg(F.min("doc_id").alias("owner")), "owners")
+    placed = runs.join(owners, key)
+    whole = placed.where("doc_id > owner").select("doc_id", "at", "n")
+
+    several = stored(owners.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"), "several")
+    open_runs = stored(placed.where("doc_id = owner").select("mark", "doc_id", "at", "n").join(several, "mark"), "open-runs")
+    asked = stored(open_runs.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "asked")
+    windows = stored(packed_texts(rows).hint("merge").join(asked, "doc_id").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, at long"), "windows")
+    least = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner"), "least")
+    single = windows.join(least, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "at", F.lit(1).alias("n"))
+
+    places = whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    merged = stored(places.mapInArrow(_intervals(window), "doc_id long, tag long, first long, words long"), "intervals")
+    for old in (twice, runs, owners, several, open_runs, asked, windows, least):
         discard(old)
+    del placed, whole, single, places, windows
+    release(docs.sparkSession)
     return merged
 
 
@@ -177,10 +215,11 @@ def _without(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, n_words, n_removed = [], [], []
-            for text, cuts in zip(as_bytes(batch.column("text")), batch.column("cuts").to_pylist(), strict=True):
-                words = (text or b"").split()
+            for body, cuts in zip(batch.column("body").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+                text = unpacked(body) or b""
+                words = text.split()
                 n_words.append(len(words))
-                own = (_tag(text or b"") >> 32) if cuts else None
+                own = (_tag(text) >> 32) if cuts else None
                 gone = sorted((c["first"], c["first"] + c["words"]) for c in cuts or () if c["tag"] == own)
                 left, at = [], 0
                 for a, b in gone:
@@ -198,5 +237,5 @@ def without(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: kept is the words that stay, joined by one space."""
     cuts = intervals.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("tag", "first", "words")).alias("cuts"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(cuts, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "cuts")
+    joined = packed_texts(rows).hint("merge").join(cuts, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "body", "cuts")
     return joined.mapInArrow(_without(["doc_id"]), "doc_id long, n_words long, n_removed long, kept string")
