@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import EDGES, text_of
-from tidewheel.llm import packing, queries, token_files
+from tidewheel.llm import packing, queries, token_files, tokens
 from tidewheel.llm.elias_fano import EliasFano, encode
 from tidewheel.llm.tokens import Encoder
 
@@ -25,7 +25,7 @@ def plain(name):
 def test_encoder_equals_the_library(name):
     whole, encoder = plain(name), Encoder(public_tokenizers.path(name))
     assert encoder.kind in ("leading", "dropped")
-    alphabet = list(" \n\t\r\x0b\x1c\x85  'sdA é́Σς1２-_😀<|endoftext|>") + ["  ", "\n\n", "'ll ", "word ", " the", "Ünder", "ﬁ", "‍"]
+    alphabet = list(" \n\t\r\x0b\x1c\x85  'sdA é́Σς1２-_😀<|endoftext|>") + ["  ", "\n\n", "'ll ", "word ", " the", "Ünder", "ﬁ", "‍", "İ", "\u0958", "\u1e9e", "ſ", "!!", "$_", "a,.", "\nZ", " Ab*** ", " é; "]
 
     @settings(max_examples=600, deadline=None)
     @given(st.lists(st.sampled_from(alphabet), max_size=30).map("".join))
@@ -35,6 +35,11 @@ def test_encoder_equals_the_library(name):
     check()
 
 
+def test_all_white_space_is_known():
+    spaces = {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    assert spaces == set(" \n" + tokens._ODD_SPACES + tokens._WIDE_SPACES)
+
+
 def corpus():
     rng = random.Random(9)
     return [*EDGES, *[(100 + i, text_of(rng, rng.choice([1, 10, 500, 3000]))) for i in range(40)]]

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewheel.llm.common import slices
-from tidewheel.llm.tokens import Encoder
+from tidewheel.llm.common import text_slices
+from tidewheel.llm.tokens import encoder
 
 MOST = 2048
 END_ID = 1
@@ -48,12 +48,12 @@ def sequence_id(length: int, part: int, ordinal: int) -> int:
 
 def _pack(path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, ordinals = Encoder(path), TaskContext.get().partitionId(), {}
+        encode, part, ordinals = encoder(path).encode_all, TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start, length in cuts(n, most):
                     k = ordinals[length] = ordinals.get(length, -1) + 1

@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import fresh_path, slices
+from tidewheel.llm.common import fresh_path, text_slices
 from tidewheel.llm.elias_fano import EliasFano, encode
-from tidewheel.llm.tokens import Encoder
+from tidewheel.llm.tokens import encoder
 
 END_ID = 0
 #: Ids of a batch of rows that the reader hands on.
@@ -50,15 +50,15 @@ def _filesystem(uri: str):
 
 def _write_shard(path: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
-        width = 2 if max(encoder.vocabulary - 1, end_id) < 1 << 16 else 4
+        words, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        width = 2 if max(words.vocabulary - 1, end_id) < 1 << 16 else 4
         files, root = _filesystem(path)
         end, name = end_id.to_bytes(4, "little"), f"{root}/{shard:06d}"
         temporary = f"{root}/_writing-{shard:06d}-{uuid.uuid4().hex}"
         lengths, docs, out = [0], [], None
-        for batch in slices(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+        for batch in text_slices(batches):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(batch.column("text").to_pylist()), strict=True):
+                ids += end
                 if out is None:
                     out = files.open_output_stream(f"{temporary}.ids")
                 out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)

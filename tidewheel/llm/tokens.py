@@ -11,17 +11,47 @@ through the library whole. Both ways give the same ids.
 
 from __future__ import annotations
 
+import itertools
+import operator
 import os
 import re
 from array import array
 
+import numpy as np
+
+from tidewheel.llm.common import resident
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 150_000
-_TWO_SPACES = re.compile(r"\s\s")
-#: White space that may stand alone between words of a byte-level text.
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Words, and runs of letters, whose ids a Python worker keeps: some 200 bytes each.
+CACHE_WORDS, CACHE_RUNS = 500_000, 700_000
+#: Runs of letters that are encoded as one text.
+_RUNS = 4096
+#: Marks that never join the letters before them: ASCII punctuation but the apostrophe of contractions.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Letters below U+0250, which stay letters in composed and in lower case (U+0130 does not).
+_RUN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: White space other than the space and the line break; it goes through the library with its text.
+_ODD_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between other characters."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    odd = _ODD_SPACES if text.isascii() else _ODD_SPACES + _WIDE_SPACES
+    return not any(map(text.__contains__, odd))
+
+
+def _trimmed(cache: dict, most: int) -> dict:
+    """The cache, or if it is full its oldest third: frequent words come early."""
+    return cache if len(cache) <= most else dict(itertools.islice(cache.items(), most // 3))
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a file: a Python worker keeps its words from task to task."""
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:
@@ -39,34 +69,76 @@ class Encoder:
         self.kind = _kind(state)
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        #: Ids of runs of letters, behind a space and not; and of marks behind a run.
+        self.runs: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.marks: dict[str, bytes] = {}
         self.line_break = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        """Puts the words that the cache lacks into it.
+
+        A run of letters with marks behind it is the run and the marks, which the tokenizer
+        keeps apart, and where it lower-cases, ASCII letters are lower-cased first; so
+        many words share a run. Runs are encoded as one text, in which each is a unit of the
+        pre-tokenizer; other words one by one.
+        """
+        known = self.runs[before]
         new = list(words.difference(cache))
-        if new:
-            found = self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False)
-            cache.update((w, array("I", x.ids).tobytes()) for w, x in zip(new, found, strict=True))
+        if not new:
+            return
+        bare = [w.rstrip(_MARKS) for w in new]
+        plain = [(run.isascii() and run.isalpha()) or _RUN.fullmatch(run) is not None for run in bare]
+        others = list(itertools.compress(new, map(operator.not_, plain)))
+        new, bare = list(itertools.compress(new, plain)), list(itertools.compress(bare, plain))
+        runs = [run.lower() if run.isascii() else run for run in bare] if self.kind == "dropped" else bare
+        unknown = list(set(runs).difference(known))
+        # between line breaks, a byte-level run has no space before it, and every other unit is a run
+        between, step = ("\n", 2) if self.kind == "leading" and not before else (" ", 1)
+        for at in range(0, len(unknown), _RUNS):
+            part = unknown[at : at + _RUNS]
+            found = self.tokenizer.encode(before + between.join(part), add_special_tokens=False)
+            units = np.array(found.word_ids)
+            if units[-1] != step * (len(part) - 1):  # not one unit a run after all
+                each = self.tokenizer.encode_batch_fast([before + run for run in part], add_special_tokens=False)
+                known.update(zip(part, [array("I", x.ids).tobytes() for x in each], strict=True))
+                continue
+            wanted = np.arange(len(part)) * step
+            starts, ends = ((np.searchsorted(units, wanted, side) * 4).tolist() for side in ("left", "right"))
+            ids = array("I", found.ids).tobytes()
+            known.update(zip(part, [ids[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+        marks = self.marks
+        tails = [w[len(run) :] for w, run in zip(new, bare, strict=True)]
+        for tail in set(tails).difference(marks):
+            marks[tail] = self._whole(tail)
+        cache.update(zip(new, [known[run] + marks[tail] if tail else known[run] for run, tail in zip(runs, tails, strict=True)], strict=True))
+        if others:
+            each = self.tokenizer.encode_batch_fast([before + w for w in others], add_special_tokens=False)
+            cache.update(zip(others, [array("I", x.ids).tobytes() for x in each], strict=True))
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        self.first, self.spaced = _trimmed(self.first, CACHE_WORDS), _trimmed(self.spaced, CACHE_WORDS)
+        self.runs = {before: _trimmed(runs, CACHE_RUNS) for before, runs in self.runs.items()}
+        first, spaced = self.first.__getitem__, self.spaced.__getitem__
         if self.kind == "dropped":
-            words = text.replace("\n", " ").split(" ")
-            known = set(words)
-            self._learn(self.first, known, "")
-            return b"".join(map(self.first.__getitem__, words))
-        if self.kind != "leading" or _TWO_SPACES.search(text) or _ODD_SPACE.search(text):
-            return self._whole(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        self._learn(self.first, {words[0] for words in lines}, "")
-        self._learn(self.spaced, {w for words in lines for w in words[1:]}, " ")
-        spaced = self.spaced.__getitem__
-        return self.line_break.join(b"".join([self.first[words[0]], *map(spaced, words[1:])]) for words in lines)
+            split = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") if text else [] for text in texts]
+            self._learn(self.first, set().union(*split), "")
+            return [b"".join(map(first, words)) for words in split]
+        if self.kind != "leading":
+            return [self._whole(text) if text else b"" for text in texts]
+        # a line's first word keeps its line break, and stands behind that, not behind a space
+        split = [text.replace("\n", " \n").split(" ") if text and _plain(text) else None for text in texts]
+        new = set().union(*(words[1:] for words in split if words)).difference(self.spaced)
+        lines = {w for w in new if w[:1] == "\n"}
+        self._learn(self.first, {words[0] for words in split if words}.union(w[1:] for w in lines), "")
+        self._learn(self.spaced, new.difference(lines), " ")
+        self.spaced.update((w, self.line_break + first(w[1:])) for w in lines)
+        return [first(words[0]) + b"".join(map(spaced, words[1:])) if words else self._whole(text) if text else b"" for text, words in zip(texts, split, strict=True)]
 
 
 def _kind(state: dict) -> str:
