@@ -15,7 +15,9 @@ hash of doc_id; whole texts). Prediction reads nothing but the text.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import as_bytes, slices
+from tidewheel.llm.common import as_bytes, resident, slices
 
 START = "▁"
 #: Words longer than this are scored in parts of this many characters.
@@ -33,7 +35,7 @@ PART = 48
 #: Characters of the longest piece used.
 LONGEST = 16
 #: Words whose scores a Python worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 #: Share of probability that a language gives to pieces it was never seen to use.
 UNSEEN = 1e-3
 
@@ -272,8 +274,8 @@ class Scorer:
     def logs_of(self, text: bytes) -> tuple[np.ndarray, int]:
         """Log-probability of the text in each language, and its words."""
         words = words_of(text)
-        if len(self.at) > CACHE_WORDS:
-            self.at, self.logs = {}, np.zeros((1024, len(self.languages)))
+        if len(self.at) > CACHE_WORDS:  # the oldest third stays: frequent words come early
+            self.at = dict(itertools.islice(self.at.items(), CACHE_WORDS // 3))
         new = set(words).difference(self.at)
         if new:
             self._learn(list(new))
@@ -292,10 +294,10 @@ class Scorer:
 def _predictor(spark: SparkSession, model: Model, keep: list[str], names: tuple[str, str]):
     """A mapInArrow function: the columns in keep, then the language and score of the column text."""
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages
-    held: dict[str, Scorer] = {}
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held.setdefault("scorer", Scorer(shared.value))
+        scorer = resident(("scorer", key), lambda: Scorer(shared.value))
         for batch in slices(batches):
             said = [scorer.predict(x) for x in as_bytes(batch.column("text"))]
             columns = [batch.column(c) for c in keep]
