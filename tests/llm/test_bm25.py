@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 from tests.llm.conftest import EDGES, text_of
 from tidewheel.llm import bm25, queries
@@ -43,6 +44,11 @@ def test_op7_equals_brute_force(spark, make, table, monkeypatch):
     expected = brute(rows, [r for r in rows if r[0] is not None and r[0] % 50 == 0])
     folder = table(documents=make(rows))
     assert {tuple(r) for r in queries.op7_top_k_search(spark, folder).collect()} == expected
+    assert bm25._rounds(bm25.SHARD_DOCS) == 0
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 8)
+    monkeypatch.setattr(bm25, "SAMPLE_OF", 4)
+    assert bm25._rounds(len(rows)) == 3
+    assert {tuple(r) for r in queries.op7_top_k_search(spark, folder).collect()} == expected
     found = bm25.search(make(rows), make([r for r in rows if r[0] is not None and r[0] % 50 == 0]).withColumnRenamed("doc_id", "query_id"), 3)
     assert {tuple(r) for r in found.drop("tag").collect()} == {r for r in expected if r[1] <= 3}
 
@@ -51,8 +57,10 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     rng = random.Random(2)
     texts = [[b"%s%d" % (rng.choice([b"a", b"b"]) if i % 2 else b"c", rng.randrange(30)) for _ in range(50)] for i in range(1000)]
     texts = [[(b"x" if i < 500 else b"y") + t for t in words] for i, words in enumerate(texts)]
-    index = bm25.Index(list(range(1000)), texts, 50.0)
-    import numpy as np
+    shard = bm25.Shard()
+    for i, words in enumerate(texts):
+        shard.add(i, words)
+    index = bm25.Index(shard, 50.0)
 
     for terms in ([b"xa1", b"xc2"], [b"yc3"], [b"xb5", b"ya7"]):
         ids = np.array([index.vocabulary[t] for t in terms])

@@ -8,9 +8,10 @@ A search task builds the inverted index of a shard of documents, ordered so that
 one language and length lie together, with each term's largest contribution to each block of
 ``BLOCK_DOCS`` documents. Queries come in batches from a table in the shared folder, never all at
 once. The block maxima bound a query's score in every block; a block is scored only if the
-bound of some query of the batch reaches that query's threshold. Thresholds start from the k-th score over a sample of the
-documents, which the k-th score over all documents is never below, and rise with the shard's own results: nothing is
-missed. Frequent terms are scored as one matrix product of batch and blocks, the others from
+bound of some query of the batch reaches that query's threshold. Thresholds come from rounds over
+nested samples of the documents, each SAMPLE_OF times the one before: the k-th score over a sample
+is never above the k-th score over all documents, so nothing is missed, and a round returns about
+k x SAMPLE_OF rows a query however many shards there are. Frequent terms are scored as one matrix product of batch and blocks, the others from
 their postings.
 """
 
@@ -30,16 +31,16 @@ from tidewheel.llm.common import as_bytes, fresh_path, same, signed, slices, sto
 
 K1, B = 1.2, 0.75
 #: Documents, and bytes of text, of a shard's index; documents of a block; queries of a batch.
-SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, BATCH = 8192, 1 << 25, 64, 64
+SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, BATCH = 4096, 1 << 24, 64, 64
 #: Terms in more than this share of a shard's documents go to the matrix, at most so many.
 FREQUENT, MOST_FREQUENT = 1 / 24, 512
-#: One document of so many sets the first thresholds.
+#: Each round of thresholds looks at so many times the documents of the one before.
 SAMPLE_OF = 32
 #: Scores are compared rounded to so many decimals.
 DECIMALS = 6
 _NEAR = 10.0**-DECIMALS
 #: Terms that a task counts before it hands them on.
-_COUNTED = 200_000
+_COUNTED = 500_000
 _NO_ID = np.iinfo(np.int64).max
 
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -77,15 +78,29 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["query_id", "tag", "term", "n"])
 
 
+class Shard:
+    """Documents on their way into an index: the terms' numbers, not their texts."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.vocabulary: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.terms: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc: int | None, terms: list[bytes], size: int = 0) -> None:
+        self.ids.append(doc)
+        self.terms.append(np.fromiter(map(self.vocabulary.__getitem__, terms), np.int32, len(terms)))
+        self.size += size
+
+
 class Index:
     """The inverted index of a shard."""
 
-    def __init__(self, ids: list[int | None], texts: list[list[bytes]], mean: float):
-        vocabulary: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        flat = np.fromiter(map(vocabulary.__getitem__, itertools.chain.from_iterable(texts)), np.int64)
-        self.vocabulary = dict(vocabulary)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        n_terms, n_docs = max(1, len(vocabulary)), len(texts)
+    def __init__(self, shard: Shard, mean: float):
+        ids, self.vocabulary = shard.ids, dict(shard.vocabulary)
+        flat = np.concatenate(shard.terms)
+        lengths = np.fromiter(map(len, shard.terms), np.int64, len(ids))
+        n_terms, n_docs = max(1, len(self.vocabulary)), len(ids)
         doc = np.repeat(np.arange(n_docs), lengths)
         keys, tf = np.unique(doc * n_terms + flat, return_counts=True)
         doc, term = keys // n_terms, keys % n_terms
@@ -139,23 +154,22 @@ class Index:
             inside = self.column[terms] >= 0
             weights[i, self.column[terms[inside]]] = w[inside]
             rest.append((terms[~inside], w[~inside]))
+        used = np.flatnonzero(weights.any(axis=0))  # a batch of one language uses few of the columns
         threshold = np.array([t for _, _, t in batch])
         scores = np.full((len(batch), len(self.ids)), -1.0)
         done = np.zeros(self.blocks, dtype=bool)
-        # the blocks with the highest bounds first; then all that may still reach a threshold
+        # queries without a threshold get one from their best block; then all blocks that may still reach one
         for first in (True, False):
-            open_ = (bounds >= threshold[:, None] - _NEAR) & (bounds > 0) & ~done[None, :]
+            chosen = np.zeros(self.blocks, dtype=bool)
             if first:
-                chosen = np.zeros(self.blocks, dtype=bool)
-                chosen[np.argpartition(-bounds, min(3, self.blocks - 1), axis=1)[:, :4].ravel()] = True
-                chosen &= open_.any(axis=0)
+                chosen[bounds[threshold <= 0].argmax(axis=1)] = True
             else:
-                chosen = open_.any(axis=0)
+                chosen = ((bounds >= threshold[:, None] - _NEAR) & (bounds > 0)).any(axis=0) & ~done
             done |= chosen
             docs = self._ranges(np.flatnonzero(chosen) * BLOCK_DOCS, np.minimum((np.flatnonzero(chosen) + 1) * BLOCK_DOCS, len(self.ids)))
             if not len(docs):
                 continue
-            part = weights @ self.matrix[docs].T
+            part = weights[:, used] @ self.matrix[np.ix_(docs, used)].T
             for i, (terms, w) in enumerate(rest):
                 begin, end = self.at[terms], self.at[terms + 1]
                 at = self._ranges(begin, end)
@@ -187,8 +201,8 @@ def _query_batches(path: str) -> Iterator[list[tuple]]:
 
 def _search(path: str, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-            index = Index(ids, texts, mean)
+        def found(shard: Shard) -> Iterator[pa.RecordBatch]:
+            index = Index(shard, mean)
             known = index.vocabulary
             for batch in _query_batches(path):
                 asked = []
@@ -203,18 +217,16 @@ def _search(path: str, mean: float, k: int):
                     rows[3] += scores.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "tag", "doc_id", "score"])
 
-        ids, texts, size = [], [], 0
+        shard = Shard()
         for batch in slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 if terms := terms_of(text):
-                    ids.append(doc)
-                    texts.append(terms)
-                    size += len(text)
-            if len(ids) >= SHARD_DOCS or size >= SHARD_BYTES:
-                yield from found(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield from found(ids, texts)
+                    shard.add(doc, terms, len(text))
+            if len(shard.ids) >= SHARD_DOCS or shard.size >= SHARD_BYTES:
+                yield from found(shard)
+                shard = Shard()
+        if shard.ids:
+            yield from found(shard)
 
     return run
 
@@ -251,12 +263,23 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def run(part: DataFrame, threshold: DataFrame | None) -> DataFrame:
         with_threshold = table.withColumn("threshold", F.lit(0.0))
         if threshold is not None:
-            known = threshold.select(F.col("query_id").alias("_query"), F.col("tag").alias("_tag"), "threshold")
-            with_threshold = table.join(known, same(F.col("query_id"), F.col("_query")) & (F.col("tag") == F.col("_tag")), "left").select(*table.columns, F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+            low = threshold.select(F.col("query_id").alias("_query"), F.col("tag").alias("_tag"), "threshold")
+            with_threshold = table.join(low, same(F.col("query_id"), F.col("_query")) & (F.col("tag") == F.col("_tag")), "left").select(*table.columns, F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
         path = fresh_path(spark, "searched")
         with_threshold.orderBy("lead", "query_id", "tag").write.parquet(path)
         return _best(part.mapInArrow(_search(path, mean, k), "query_id long, tag long, doc_id long, score double"), k)
 
-    sample = run(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0), None)
-    low = stored(sample.where(F.col("rank") == k).select("query_id", "tag", F.col("score").alias("threshold")), "thresholds")
-    return run(rows, low).select("query_id", "tag", "rank", "doc_id", "score")
+    threshold = None
+    for level in range(_rounds(n), 0, -1):
+        every = SAMPLE_OF**level
+        sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(max(1, -(-n // (every * SHARD_DOCS))))
+        threshold = stored(run(sample, threshold).where(F.col("rank") == k).select("query_id", "tag", F.col("score").alias("threshold")), "thresholds")
+    return run(rows, threshold).select("query_id", "tag", "rank", "doc_id", "score")
+
+
+def _rounds(documents: int) -> int:
+    """Rounds of thresholds until a sample is one shard."""
+    level = 0
+    while documents > SHARD_DOCS * SAMPLE_OF**level:
+        level += 1
+    return level
