@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from tests.llm.conftest import EDGES, text_of
@@ -65,3 +66,11 @@ def test_sliding_least():
 
 def test_empty_table(spark, make, table):
     assert queries.op5_substring_dedup(spark, table(documents=make([]))).count() == 0
+
+
+def test_sql_agrees_with_brute_force():
+    rows = list({r[0]: r for r in corpus() if r[0] is not None}.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(str, con.sql(queries.OP5).fetchall())) == sorted(map(str, brute(rows)))

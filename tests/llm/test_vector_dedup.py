@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from tidewheel.llm import queries, vector_dedup
@@ -72,3 +73,12 @@ def test_few_dimensions_miss_nothing_and_chunks_agree(spark, table):
 def test_empty_table(spark, table):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert queries.op10_embedding_dedup(spark, table(embeddings=df)).count() == 0
+
+
+def test_sql_agrees_with_brute_force():
+    rows = [r for r in vectors(5, 60, 16) if r[0] is not None and (not r[1] or len(r[1]) == 16)]
+    rows = list({r[0]: r for r in rows}.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    assert sorted(map(str, con.sql(queries.OP10).fetchall())) == sorted(map(str, brute(rows)))

@@ -70,6 +70,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+OP5 = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 49), ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)),
+owners AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM windows JOIN owners USING (h) WHERE doc_id > owner),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM texts)
+SELECT texts.doc_id, CAST(len(any_value(texts.words)) AS BIGINT) AS n_words, count(gone.k) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY placed.k) FILTER (gone.k IS NULL), '')) AS kept_sha256
+FROM texts LEFT JOIN placed USING (doc_id) LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.k = placed.k
+GROUP BY texts.doc_id
+"""
+
 OP7 = r"""
 WITH words AS (
   SELECT doc_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+')) AS term
@@ -102,6 +117,22 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) A
 FROM marked GROUP BY doc_id
 """
 
+OP10 = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (
+  SELECT vec_id AS v, vec_id AS r FROM embeddings
+  UNION SELECT v, b FROM reached JOIN links ON a = r),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, v = min(r) AS kept
+FROM reached LEFT JOIN counts ON a = v GROUP BY v
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -119,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k_search": OP7, "op8_line_dedup": OP8}
+    return {"op5_substring_dedup": OP5, "op7_top_k_search": OP7, "op8_line_dedup": OP8, "op10_embedding_dedup": OP10}
