@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
@@ -107,6 +109,10 @@ def resident(key: tuple, make: Callable[[], T]) -> T:
     """The one large object that a Python worker keeps from task to task; another key replaces it."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # what the C library has free goes back, where it can
+            ctypes.CDLL(None).malloc_trim(0)
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
