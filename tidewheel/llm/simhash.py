@@ -233,7 +233,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     a row that repeats doc_id and text stays once. In a group without any doc_id the least
     text hash decides.
     """
-    firsts = group(docs, shingle, distance).where(same(F.col("doc_id"), F.col("component_id")))
+    return one_of_each(docs, group(docs, shingle, distance))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """keep_one for any groups: doc_id, text_key, group_fp and component_id of every row of docs."""
+    firsts = groups.where(same(F.col("doc_id"), F.col("component_id")))
     rows = stored(firsts.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("n")), "firsts")
     chosen = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "doc_id")).alias("c")).select(F.col("c.doc_id").alias("_doc"), F.col("c.text_key").alias("_key"))
     kept = docs.join(chosen, same(docs["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_semi")
