@@ -38,6 +38,9 @@ LONGEST = 16
 CACHE_WORDS = 250_000
 #: Share of probability that a language gives to pieces it was never seen to use.
 UNSEEN = 1e-3
+#: A text is in no learned language if its log-probability a character is lower than the training texts' by
+#: FAR, and by SLACK / sqrt(characters) more, as short texts scatter.
+FAR, SLACK = 2.5, 12.0
 
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _LETTER = re.compile(r"[A-Za-z]")
@@ -68,12 +71,19 @@ class Model:
     pieces: list[str]
     #: len(pieces) + 1 rows, one column per language; the last row is for uncovered characters.
     p: np.ndarray
+    #: Of a calibrated model: log-probability a character of each language's training texts.
+    typical: np.ndarray | None = None
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
 
 
+def _size(word: bytes) -> int:
+    """Characters of a word, its start mark included."""
+    return len(word.decode("utf-8", "replace")) + 1
+
+
 def has_letter(text: str) -> bool:
     return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
 
@@ -197,8 +207,8 @@ def _smoothed(uses: np.ndarray) -> np.ndarray:
     return p
 
 
-def fit(counts: dict[bytes, np.ndarray], languages: list[str], pieces: list[str], rounds: int = 4, block: int = 4096) -> Model:
-    """Piece probabilities from each word's count in each language."""
+def fit(counts: dict[bytes, np.ndarray], languages: list[str], pieces: list[str], rounds: int = 4, block: int = 4096, calibrate: bool = False) -> Model:
+    """Piece probabilities from each word's count in each language; ``calibrate`` also sets what is typical."""
     trie = Trie(pieces)
     words = sorted(counts)
     table = np.array([counts[w] for w in words], dtype=float).reshape(len(words), len(languages))
@@ -208,7 +218,14 @@ def fit(counts: dict[bytes, np.ndarray], languages: list[str], pieces: list[str]
         for at in range(0, len(words), block):
             uses += Lattice(words[at : at + block], trie).expected(p, table[at : at + block])
         p = _smoothed(uses)
-    return Model(languages, pieces, p)
+    if not calibrate:
+        return Model(languages, pieces, p)
+    logs = np.zeros(len(languages))
+    for at in range(0, len(words), block):
+        logs += (Lattice(words[at : at + block], trie).log_scores(p) * table[at : at + block]).sum(axis=0)
+    chars = np.array([_size(w) for w in words], dtype=float) @ table
+    # a language whose training texts have no words rules nothing out
+    return Model(languages, pieces, p, np.where(chars > 0, logs / np.maximum(chars, 1), -np.inf))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -230,7 +247,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
-def train(docs: DataFrame, sample_docs: int = 400, vocabulary: str | None = None, rounds: int = 4) -> Model:
+def train(docs: DataFrame, sample_docs: int = 400, vocabulary: str | None = None, rounds: int = 4, calibrate: bool = False) -> Model:
     """Fits a model on about sample_docs whole documents a language, chosen by a hash of doc_id.
 
     sample_docs bounds what reaches the driver. The languages are the distinct lang values.
@@ -250,7 +267,7 @@ def train(docs: DataFrame, sample_docs: int = 400, vocabulary: str | None = None
     counts: dict[bytes, np.ndarray] = {}
     for r in found.toLocalIterator():
         counts.setdefault(bytes(r["word"]), np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
-    return fit(counts, languages, pieces, rounds)
+    return fit(counts, languages, pieces, rounds, calibrate=calibrate)
 
 
 class Scorer:
@@ -258,9 +275,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.trie = Trie(model.pieces)
-        self.languages, self.p = model.languages, model.p
+        self.languages, self.p, self.typical = model.languages, model.p, model.typical
         self.at: dict[bytes, int] = {}
-        self.logs = np.zeros((1024, len(self.languages)))
+        self.logs = np.zeros((1024, len(self.languages) + 1))  # the last column holds characters
 
     def _learn(self, words: list[bytes], block: int = 2048) -> None:
         for i in range(0, len(words), block):
@@ -268,11 +285,17 @@ class Scorer:
             n = len(self.at)
             while len(self.logs) < n + len(part):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[n : n + len(part)] = Lattice(part, self.trie).log_scores(self.p)
+            self.logs[n : n + len(part), :-1] = Lattice(part, self.trie).log_scores(self.p)
+            self.logs[n : n + len(part), -1] = [_size(w) for w in part]
             self.at.update(zip(part, range(n, n + len(part)), strict=True))
 
     def logs_of(self, text: bytes) -> tuple[np.ndarray, int]:
         """Log-probability of the text in each language, and its words."""
+        totals, n = self._totals(text)
+        return totals[:-1], n
+
+    def _totals(self, text: bytes) -> tuple[np.ndarray, int]:
+        """logs_of with the text's characters at the end."""
         words = words_of(text)
         if len(self.at) > CACHE_WORDS:  # the oldest third stays: frequent words come early
             self.at = dict(itertools.islice(self.at.items(), CACHE_WORDS // 3))
@@ -280,14 +303,17 @@ class Scorer:
         if new:
             self._learn(list(new))
         if not words:
-            return np.zeros(len(self.languages)), 0
+            return np.zeros(len(self.languages) + 1), 0
         return self.logs[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0), len(words)
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         if text is None or not self.languages or not has_letter(text.decode("utf-8", "replace")):
             return "und", 0.0
-        logs, _ = self.logs_of(text)
+        totals, _ = self._totals(text)
+        logs, chars = totals[:-1], totals[-1]
         best = int(np.argmax(logs))
+        if self.typical is not None and logs[best] < chars * (self.typical[best] - FAR - SLACK / np.sqrt(max(chars, 1.0))):
+            return "und", 0.0
         return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
 
@@ -310,7 +336,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """The columns in keep, then lang_pred and score (under ``names``) of every row of docs.
 
     lang_pred is a learned language, or ``und`` with score 0 if text is null or has no letter
-    (or nothing could be learned). score is the language's posterior under equal priors.
+    (or nothing could be learned), or if a calibrated model finds it too unlikely in every language. score is the language's posterior under equal priors.
     Every row is scored by itself: repeated rows, ties and null ids change nothing; on a tie
     the first language in code-point order is returned. A text of any length is read whole.
     """
