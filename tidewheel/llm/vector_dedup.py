@@ -4,8 +4,7 @@ Equal vectors of one label collapse to a class first, so copies are never compar
 vectors go to the nearest of ``lists`` coarse centroids; the residual is coded by the nearest
 codeword in each of ``PARTS`` subspaces, and its coding error is kept. Each class also queries
 every list whose cell its neighbours may lie in: the step across the bisecting plane of two
-centroids must not exceed SIGMAS standard deviations of a step of the threshold's radius in a random direction
-(in few dimensions the bound is the radius itself, which misses nothing). In a list, a lookup
+centroids must not exceed the threshold's radius, so no neighbour is missed whatever the directions. In a list, a lookup
 table of each query gives asymmetric distances to the members; by the triangle inequality the
 coding error decides which members can be within the radius, and those are compared exactly in
 double precision. A pair is found if either vector probes the other's list.
@@ -33,7 +32,6 @@ THRESHOLD = 0.93
 SAMPLE = 16_384
 MOST_LISTS = 1024
 PARTS, WORDS = 8, 256
-SIGMAS = 3.0
 #: Members of a list that meet queries in one piece, queries of a key, and queries compared at a time.
 MEMBERS, QUERIES, BLOCK = 4096, 32_768, 256
 
@@ -100,7 +98,7 @@ def _assign(shared, threshold: float):
                     far = _squares(rest[:, a:b], words)
                     codes[:, i] = far.argmin(axis=1)
                     error += far[np.arange(len(x)), codes[:, i]]
-                step = 2 * radius * min(1.0, SIGMAS / math.sqrt(x.shape[1])) * between[home]
+                step = 2 * radius * between[home]
                 probes = d - d[np.arange(len(x)), home][:, None] <= step + 1e-12
                 lists = [np.flatnonzero(p).astype(np.int32).tolist() for p in probes]
                 yield pa.RecordBatch.from_arrays(
