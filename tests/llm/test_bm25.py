@@ -58,18 +58,37 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     texts = [[b"%s%d" % (rng.choice([b"a", b"b"]) if i % 2 else b"c", rng.randrange(30)) for _ in range(50)] for i in range(1000)]
     texts = [[(b"x" if i < 500 else b"y") + t for t in words] for i, words in enumerate(texts)]
     shard = bm25.Shard()
-    for i, words in enumerate(texts):
-        shard.add(i, words)
+    shard.add(list(range(1000)), [b" ".join(words) for words in texts])
     index = bm25.Index(shard, 50.0)
+    contents = [Counter(words) for words in texts]
 
-    for terms in ([b"xa1", b"xc2"], [b"yc3"], [b"xb5", b"ya7"]):
-        ids = np.array([index.vocabulary[t] for t in terms])
-        docs, scores = index.search([(ids, np.ones(len(ids)), 0.0)], 5)[0]
-        whole = np.zeros(1000)
-        for t in ids:
-            whole[index.doc[index.at[t] : index.at[t + 1]]] += index.impact[index.at[t] : index.at[t + 1]]
-        best = np.lexsort((index.ids, -np.round(whole, 6)))[:5]
-        assert docs.tolist() == best.tolist() and np.allclose(scores, whole[best], atol=1e-6)
+    def whole(terms):
+        return np.array([sum(c[t] * 2.2 / (c[t] + 1.2) for t in terms if t in c) for c in contents])
+
+    asked = [[b"xa1", b"xc2"], [b"yc3"], [b"xb5", b"ya7"], [b"nowhere"]]
+    hashes = [bm25.hashed_terms([t])[0] for words in asked for t in words]
+    own, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    for floor in (0.0, 1.2):
+        batch = bm25.Queries([0] * 4, [0] * 4, own, np.cumsum([len(x) for x in asked]), at, np.ones(len(at)), np.full(4, floor))
+        for terms, (docs, scores) in zip(asked, index.search(batch, 5), strict=True):
+            expected = whole(terms)
+            best = [i for i in np.lexsort((np.arange(1000), -np.round(expected, 6)))[:5].tolist() if expected[i] > max(0, floor - 1e-6)]
+            assert index.ids[docs].tolist() == best and np.allclose(scores, expected[best], atol=1e-6)
+
+
+def test_hashed_terms_are_those_of_a_plain_split(monkeypatch):
+    texts = [r[1].encode() if r[1] is not None else None for r in EDGES] + [b"a b", b"", b"A  b", b"ab", b"ba", "Ünï ünï".encode(), b"x" * 3000]
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(bm25, "_HASHED", size)
+        monkeypatch.setattr(bm25, "_TABLES", [np.zeros(0, np.uint64)] * 2)
+        hashes, lengths = bm25.hashed_terms(texts)
+        words = [re.findall(rb"[a-z0-9\x80-\xff]+", (t or b"").lower()) for t in texts]
+        assert lengths.tolist() == [len(w) for w in words]
+        by = {}
+        for word, h in zip([w for ws in words for w in ws], hashes.tolist(), strict=True):
+            assert by.setdefault(word, h) == h
+        assert len(set(by.values())) == len(by)
+    assert bm25.hashed_terms([])[0].tolist() == []
 
 
 def test_sql_agrees_with_brute_force():

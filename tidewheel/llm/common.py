@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.sources.shared import fresh_path, shared_dir, stored
 
-__all__ = ["as_bytes", "discard", "fresh_path", "packed", "packed_texts", "release", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "text_slices", "unpacked"]
+__all__ = ["as_bytes", "discard", "fresh_path", "mixed", "packed", "packed_texts", "powers", "release", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "text_slices", "unpacked"]
 
 T = TypeVar("T")
 
@@ -129,3 +129,19 @@ def sha256_utf8(column: Column) -> Column:
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out = np.ones(n, dtype=np.uint64)
+    if n > 1:
+        out[1:] = np.uint64(base)
+        np.multiply.accumulate(out, out=out)
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit hashes with all bits stirred."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import as_bytes, discard, packed_texts, release, slices, stored, unpacked
+from tidewheel.llm.common import as_bytes, discard, mixed, packed_texts, powers, release, slices, stored, unpacked
 
 WINDOW = 50
 GRAM = 16
@@ -43,21 +43,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_digest, words), np.uint64, len(words))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.ones(n, dtype=np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 class Rolling:
     """Rabin-Karp hashes of all windows of a text, modulo 2 ** 64.
 
@@ -67,17 +52,17 @@ class Rolling:
 
     def __init__(self, hashes: np.ndarray):
         self.n = len(hashes)
-        self.powers = _powers(_BASE, self.n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_INVERSE, self.n), dtype=np.uint64)])
+        self.powers = powers(_BASE, self.n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(_INVERSE, self.n), dtype=np.uint64)])
 
     def windows(self, width: int) -> np.ndarray:
         if self.n < width:
             return np.zeros(0, dtype=np.uint64)
-        return _mixed((self.sums[width:] - self.sums[:-width]) * self.powers[width - 1 :])
+        return mixed((self.sums[width:] - self.sums[:-width]) * self.powers[width - 1 :])
 
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the words begin .. end - 1 of each pair; equal words give equal hashes wherever they stand."""
-        return _mixed((self.sums[end] - self.sums[begin]) * self.powers[end - 1])
+        return mixed((self.sums[end] - self.sums[begin]) * self.powers[end - 1])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -143,7 +128,7 @@ def _windows(window: int):
                 hashes = word_hashes(text.split())
                 at = np.unique(np.concatenate([np.arange(a, a + n) for a, n in own]))
                 out[0].append(Rolling(hashes).windows(window)[at].view(np.int64))
-                out[1].append((Rolling(_mixed(hashes)).windows(window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                out[1].append((Rolling(mixed(hashes)).windows(window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 out[2].append(np.full(len(at), doc, dtype=np.int64))
                 out[3].append(at + tag)
             if out[0]:
