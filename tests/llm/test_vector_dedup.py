@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from tidewheel.llm import queries, vector_dedup
 
@@ -55,21 +56,37 @@ def test_op10_against_brute_force(spark, table):
     assert len(same) >= 0.99 * len(set(map(str, expected)))
 
 
-def test_few_dimensions_miss_nothing_and_chunks_agree(spark, table):
+def test_few_dimensions_miss_nothing_and_pieces_agree(spark, table, monkeypatch):
     rng = np.random.default_rng(8)
-    rows = [(i, rng.normal(size=3).astype(np.float32).astype(float).tolist(), 1) for i in range(300)]
+    rows = [(i, rng.normal(size=3).astype(np.float32).astype(float).tolist(), i % 2) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     expected = sorted(map(str, brute(rows, 0.99)))
-    for members, asks in ((4096, 32768), (16, 8)):
-        old = vector_dedup.MEMBERS, vector_dedup.QUERIES
-        vector_dedup.MEMBERS, vector_dedup.QUERIES = members, asks
-        try:
-            found = vector_dedup.link(df, 0.99).selectExpr("vec_id", "n_links", "component_id", "vec_id = component_id").collect()
-        finally:
-            vector_dedup.MEMBERS, vector_dedup.QUERIES = old
+    for members, asks, cell in ((4096, 32768, 2048), (4096, 32768, 10), (16, 8, 40)):
+        for name, value in (("MEMBERS", members), ("QUERIES", asks), ("CELL", cell)):
+            monkeypatch.setattr(vector_dedup, name, value)
+        found = vector_dedup.link(df, 0.99).selectExpr("vec_id", "n_links", "component_id", "vec_id = component_id").collect()
         assert sorted(str(tuple(r)) for r in found) == expected
 
 
+def test_recall_on_twenty_thousand_vectors(spark):
+    """Groups of near copies over several cells of a label: links as brute force has them."""
+    rng = np.random.default_rng(12)
+    sizes = rng.choice([1, 1, 1, 2, 3, 8, 40], size=3600)
+    sizes[0] = 900
+    base = np.repeat(rng.normal(size=(len(sizes), 48)), sizes, axis=0)
+    x = (base + rng.normal(size=base.shape) * rng.choice([0.05, 0.15, 0.25, 0.3], size=(len(base), 1))).astype(np.float32)
+    label = rng.integers(0, 2, len(x))
+    assert len(x) >= 20_000
+    rows = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 48).cast(pa.list_(pa.float32())), "label": pa.array(label)})
+    found = vector_dedup.link(spark.createDataFrame(rows)).toPandas().set_index("vec_id")["n_links"].to_numpy()
+    links = np.zeros(len(x), dtype=np.int64)
+    for own in (np.flatnonzero(label == k) for k in (0, 1)):
+        u = vector_dedup.unit(x[own].astype(float))
+        for at in range(0, len(own), 1000):
+            links[own[at : at + 1000]] = (u[at : at + 1000] @ u.T >= vector_dedup.THRESHOLD).sum(axis=1) - 1
+    assert links.sum() > 100_000 and (found <= links).all() and found.sum() >= 0.98 * links.sum()
+
+
 def test_empty_table(spark, table):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert queries.op10_embedding_dedup(spark, table(embeddings=df)).count() == 0

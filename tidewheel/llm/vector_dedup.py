@@ -1,17 +1,26 @@
 """Embedding near-dedup by product quantisation.
 
-Equal vectors of one label collapse to a class first, so copies are never compared. Unit
-vectors go to the nearest of ``lists`` coarse centroids; the residual is coded by the nearest
-codeword in each of ``PARTS`` subspaces, and its coding error is kept. Each class also queries
-every list whose cell its neighbours may lie in: the step across the bisecting plane of two
-centroids must not exceed the threshold's radius, so no neighbour is missed whatever the directions. In a list, a lookup
-table of each query gives asymmetric distances to the members; by the triangle inequality the
-coding error decides which members can be within the radius, and those are compared exactly in
-double precision. A pair is found if either vector probes the other's list.
-
-A list's work is keyed by chunks of members and of queries, so no task holds more than
-MEMBERS vectors, and reports counts and a spanning forest, never pairs. Centroids and codewords
-are fitted on a sample of at most about SAMPLE classes; every class is indexed.
+Equal vectors of one label collapse to a class first (by 128 bits of hashes), so copies are
+never compared. Unit vectors go to the nearest of ``lists`` coarse centroids; the residual is
+coded by the nearest codeword in each of ``PARTS`` subspaces, and its coding error is kept.
+
+Each class also probes the lists that its neighbours may lie in. Of two neighbours in different
+lists, one is at most half the threshold's radius from the plane that bisects the two centroids,
+so nothing is missed if both probe that far. In many directions neighbours hardly ever differ by
+the whole radius in the one that matters: where ``SIGMAS`` standard deviations of a residual in
+that direction, measured on the sample, come to less, that is how far a class probes. In few
+directions it is not less, and no neighbour is missed.
+
+In a list, a lookup table of each query gives asymmetric distances to the members; by the
+triangle inequality the coding error decides which members can be within the radius, and those
+are compared exactly in double precision. A pair is found if either vector probes the other's list.
+
+Lists come in cells, groups of neighbouring centroids. A vector travels once to its own cell,
+where it is member and query, and once to every other cell in which it probes a list. A cell's
+work is keyed by chunks of members and of queries, so no task holds more than MEMBERS and QUERIES
+vectors, and reports counts and a spanning forest, never pairs. There are as many lists as the
+square root of the classes, at every size. Centroids and codewords are fitted on about SAMPLE
+classes, or PER_LIST a list where that is more; every class is indexed.
 """
 
 from __future__ import annotations
@@ -25,22 +34,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import stored
+from tidewheel.llm.common import discard, stored
 from tidewheel.llm.components import components
 
 THRESHOLD = 0.93
-SAMPLE = 16_384
-MOST_LISTS = 1024
+#: Classes that the model is fitted on: so many, and so many a list.
+SAMPLE, PER_LIST = 16_384, 16
+SIGMAS = 3.0
 PARTS, WORDS = 8, 256
-#: Members of a list that meet queries in one piece, queries of a key, and queries compared at a time.
-MEMBERS, QUERIES, BLOCK = 4096, 32_768, 256
+#: Vectors that a cell should hold, the most members and queries of one piece of a cell, and queries compared at a time.
+CELL, MEMBERS, QUERIES, BLOCK = 2048, 4096, 32_768, 512
+#: Numbers of a matrix of distances at a time.
+_NUMBERS = 1 << 22
 
 
 @dataclass
 class Quantiser:
     centroids: np.ndarray
+    #: The cell of each list.
+    cells: np.ndarray
     #: For each subspace its dimensions (begin, end) and codewords.
     parts: list[tuple[int, int, np.ndarray]]
+    #: Second moments of the residuals, with trace 1.
+    spread: np.ndarray
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -53,26 +69,49 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :], 0.0)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, _NUMBERS // len(c))
+    return np.concatenate([np.zeros(0, np.int64), *(_squares(x[at : at + step], c).argmin(axis=1) for at in range(0, len(x), step))])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = _squares(x, centres).argmin(axis=1)
-        counts = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        full = counts > 0
-        centres[full] = sums[full] / counts[full, None]
+        near = _nearest(x, centres)
+        order = np.argsort(near, kind="stable")
+        full, first = np.unique(near[order], return_index=True)
+        sums = np.add.reduceat(x[order], first, axis=0)
+        centres[full] = sums / np.diff(np.r_[first, len(x)])[:, None]
     return centres
 
 
-def fit(sample: np.ndarray, lists: int, seed: int = 10) -> Quantiser:
+def fit(sample: np.ndarray, lists: int, cells: int = 1, seed: int = 10) -> Quantiser:
     """sample: unit vectors."""
     centroids = _kmeans(sample, min(lists, len(sample)), 8, seed)
-    rest = sample - centroids[_squares(sample, centroids).argmin(axis=1)]
-    bounds = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int).tolist()
+    rest = sample - centroids[_nearest(sample, centroids)]
+    size = sample.shape[1]
+    bounds = np.linspace(0, size, min(PARTS, size) + 1).astype(int).tolist()
     parts = [(a, b, _kmeans(rest[:, a:b], min(WORDS, len(rest)), 6, seed + a + 1)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return Quantiser(centroids, parts)
+    spread = rest.T @ rest
+    trace = np.trace(spread)
+    spread = spread / trace if trace > 0 else np.eye(size)  # without residuals, nothing is known: the whole radius
+    cell = _nearest(centroids, _kmeans(centroids, min(cells, len(centroids)), 8, seed))
+    return Quantiser(centroids, cell, parts, spread)
+
+
+def probes(model: Quantiser, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home list of each unit vector, and which lists it probes (home among them)."""
+    c = model.centroids
+    d = _squares(x, c)
+    home = d.argmin(axis=1)
+    own = c[home]
+    turned = c @ model.spread
+    quadratic = (turned * c).sum(axis=1)
+    along = quadratic[home][:, None] + quadratic[None, :] - 2 * turned[home] @ c.T
+    reach = np.minimum(np.sqrt(_squares(own, c)), SIGMAS * np.sqrt(np.maximum(along, 0.0)))
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    return home, d - d[np.arange(len(x)), home][:, None] <= radius * reach + 1e-12
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,149 +119,191 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _lists_of(mask: np.ndarray) -> pa.Array:
+    """The columns that are set in each row."""
+    row, column = np.nonzero(mask)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(mask) + 1)), pa.int32()), pa.array(column, pa.int32()))
+
+
 def _assign(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Quantiser = shared.value
         c = model.centroids
-        between = np.sqrt(_squares(c, c))
-        radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+        step = max(1, min(2048, _NUMBERS // len(c)))
+        member = np.zeros((len(c), int(model.cells.max()) + 1), dtype=np.float32)
+        member[np.arange(len(c)), model.cells] = 1
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = unit(_matrix(batch.column("x")))
-                d = _squares(x, c)
-                home = d.argmin(axis=1)
+                home, asked = probes(model, x, threshold)
                 rest = x - c[home]
                 codes, error = np.zeros((len(x), len(model.parts)), dtype=np.uint8), np.zeros(len(x))
                 for i, (a, b, words) in enumerate(model.parts):
                     far = _squares(rest[:, a:b], words)
                     codes[:, i] = far.argmin(axis=1)
                     error += far[np.arange(len(x)), codes[:, i]]
-                step = 2 * radius * between[home]
-                probes = d - d[np.arange(len(x)), home][:, None] <= step + 1e-12
-                lists = [np.flatnonzero(p).astype(np.int32).tolist() for p in probes]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("cid"), batch.column("label"), batch.column("x"), batch.column("m"), pa.array(home, pa.int32()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(np.sqrt(error)), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["cid", "label", "x", "m", "home", "codes", "error", "probes"],
-                )
+                elsewhere = asked.astype(np.float32) @ member > 0
+                elsewhere[np.arange(len(x)), model.cells[home]] = False
+                columns = [
+                    *(batch.column(name) for name in ("cid", "label", "x", "m")),
+                    pa.array(home, pa.int32()),
+                    pa.array(model.cells[home], pa.int32()),
+                    _lists_of(elsewhere),
+                    _lists_of(asked),
+                    pa.array([r.tobytes() for r in codes], pa.binary()),
+                    pa.array(np.sqrt(error)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "label", "x", "m", "home", "cell", "others", "probes", "codes", "error"])
 
     return run
 
 
-class _List:
-    """Members of one list; meets queries block by block."""
-
-    def __init__(self, model: Quantiser, number: int, threshold: float, parts: list[dict]):
-        self.model, self.threshold = model, threshold
-        self.centre = model.centroids[number]
-        self.cid = np.concatenate([p["cid"] for p in parts])
-        self.m = np.concatenate([p["m"] for p in parts])
-        self.x = np.concatenate([p["x"] for p in parts])
-        self.codes = np.concatenate([p["codes"] for p in parts])
-        self.error = np.concatenate([p["error"] for p in parts])
-        self.asks = np.zeros((len(self.cid), len(model.centroids)), dtype=bool)
-        for i, probes in enumerate(q for p in parts for q in p["probes"]):
-            self.asks[i, probes] = True
-        self.label = self.cid.copy()
-        self.linked = np.zeros(len(self.cid), dtype=np.int64)
-
-    def meet(self, cid: np.ndarray, m: np.ndarray, x: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Rows of one block of queries: their counts, and edges that join their components."""
-        radius = math.sqrt(max(0.0, 2 - 2 * self.threshold))
-        rest = x - self.centre
-        about = np.zeros((len(x), len(self.cid)))
-        for i, (a, b, words) in enumerate(self.model.parts):
-            about += _squares(rest[:, a:b], words)[:, self.codes[:, i]]
-        near = np.sqrt(about) <= radius + self.error[None, :] + 1e-9
-        q, y = np.nonzero(near & (cid[:, None] != self.cid[None, :]))
-        exact = np.zeros(len(q))
-        for i in range(0, len(q), 65536):
-            exact[i : i + 65536] = np.einsum("ij,ij->i", x[q[i : i + 65536]], self.x[y[i : i + 65536]])
-        linked = exact >= self.threshold
-        q, y = q[linked], y[linked]
-        if not len(q):
-            return
-        counts = np.bincount(q, weights=self.m[y], minlength=len(cid)).astype(np.int64)
-        unseen = ~self.asks[y, home[q]]  # such members do not look where the query lives
-        self.linked += np.bincount(y[unseen], weights=m[q[unseen]], minlength=len(self.cid)).astype(np.int64)
-        was = np.concatenate([cid, self.label])
-        label, u, v = was.copy(), q, y + len(cid)
-        while (label[u] != label[v]).any():  # least labels spread over the links
-            least = np.minimum(label[u], label[v])
-            np.minimum.at(label, u, least)
-            np.minimum.at(label, v, least)
-        self.label = label[len(cid) :]
-        moved = np.flatnonzero(label != was)
-        yield from ((0, int(cid[i]), int(counts[i])) for i in np.flatnonzero(counts))
-        yield from ((1, int(i), int(j)) for i, j in np.unique(np.stack([was[moved], label[moved]], axis=1), axis=0))
-
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(0, int(self.cid[i]), int(self.linked[i])) for i in np.flatnonzero(self.linked)]
+class Vectors:
+    """Members or queries of a piece of a cell."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        column = lambda name: table.column(name).combine_chunks()
+        self.cid, self.m, self.home, self.error = (column(c).to_numpy(zero_copy_only=False) for c in ("cid", "m", "home", "error"))
+        self.x = unit(_matrix(column("x")))
+        self.codes = np.frombuffer(b"".join(column("codes").to_pylist()), np.uint8).reshape(len(self.cid), -1)
+        asked = column("probes")
+        self.row = np.repeat(np.arange(len(self.cid)), np.diff(asked.offsets.to_numpy()))
+        self.probe = asked.flatten().to_numpy(zero_copy_only=False)
+
+    def asks(self, row: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Whether each of some rows probes a list; probes come in order."""
+        width = 1 + max(int(self.probe.max(initial=0)), int(lists.max(initial=0)))
+        keys = self.row * width + self.probe
+        wanted = row * width + lists
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        return keys[at] == wanted
+
+
+def met(model: Quantiser, threshold: float, cell: int, members: Vectors, queries: Vectors) -> Iterator[np.ndarray]:
+    """(kind, a, b) rows of a piece of a cell: kind 0 links of class a, kind 1 edges that join the linked."""
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    here = model.cells[queries.probe] == cell
+    row, lists = queries.row[here], queries.probe[here]
+    order = np.argsort(lists, kind="stable")
+    row, lists = row[order], lists[order]
+    by_home = np.argsort(members.home, kind="stable")
+    homes = members.home[by_home]
+    found, linked = np.zeros(len(queries.cid), dtype=np.int64), np.zeros(len(members.cid), dtype=np.int64)
+    nodes, node = np.unique(np.concatenate([queries.cid, members.cid]), return_inverse=True)
+    asker, owner = node[: len(queries.cid)], node[len(queries.cid) :]
+    label = np.arange(len(nodes))
+    for number in np.unique(lists).tolist():
+        own = by_home[slice(*np.searchsorted(homes, [number, number + 1]))]
+        if not len(own):
+            continue
+        asking = row[slice(*np.searchsorted(lists, [number, number + 1]))]
+        codes, error, theirs = members.codes[own].T, members.error[own], members.x[own]
+        for at in range(0, len(asking), BLOCK):
+            some = asking[at : at + BLOCK]
+            rest = queries.x[some] - model.centroids[number]
+            about = np.zeros((len(some), len(own)))
+            for code, (a, b, words) in zip(codes, model.parts, strict=True):
+                about += np.take(_squares(rest[:, a:b], words), code, axis=1)
+            near = np.sqrt(about) <= radius + error[None, :] + 1e-9
+            q, y = np.nonzero(near & (queries.cid[some][:, None] != members.cid[own][None, :]))
+            exact = np.zeros(len(q))
+            for i in range(0, len(q), 65536):
+                exact[i : i + 65536] = np.einsum("ij,ij->i", queries.x[some[q[i : i + 65536]]], theirs[y[i : i + 65536]])
+            close = exact >= threshold
+            q, y = some[q[close]], own[y[close]]
+            if not len(q):
+                continue
+            found += np.bincount(q, weights=members.m[y], minlength=len(found)).astype(np.int64)
+            unseen = ~members.asks(y, queries.home[q])  # such members do not look where the query lives
+            linked += np.bincount(y[unseen], weights=queries.m[q[unseen]], minlength=len(linked)).astype(np.int64)
+            was, u, v = label.copy(), asker[q], owner[y]
+            while (label[u] != label[v]).any():  # least labels spread over the links
+                least = np.minimum(label[u], label[v])
+                np.minimum.at(label, u, least)
+                np.minimum.at(label, v, least)
+            moved = np.flatnonzero(label != was)
+            if len(moved):
+                edges = np.unique(np.stack([nodes[was[moved]], nodes[label[moved]]], axis=1), axis=0)
+                yield np.column_stack([np.ones(len(edges), np.int64), edges])
+    for cid, n in ((queries.cid, found), (members.cid, linked)):
+        some = np.flatnonzero(n)
+        yield np.column_stack([np.zeros(len(some), np.int64), cid[some], n[some]])
 
 
 def _search(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["kind", "a", "b"])
-
-        key, members, here = None, [], None
-        for whole in batches:
-            keys = list(zip(*(whole.column(c).to_pylist() for c in ("label", "list", "i", "j")), strict=True))
-            roles = whole.column("role").to_pylist()
+        def told(key: tuple, held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+            _, cell, _, _, whole = key
+            if not held[0] or not (held[1] or whole):
+                return
+            members = Vectors(held[0])
+            # in a cell of one piece the members are queries too
+            sides = ([members] if whole else []) + ([Vectors(held[1])] if held[1] else [])
+            for queries in sides:
+                for rows in met(shared.value, threshold, cell, members, queries):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()) for i in range(3)], names=["kind", "a", "b"])
+
+        now, held = None, ([], [])
+        for batch in batches:
+            names = ("label", "cell", "i", "j", "whole", "role")
+            keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             at = 0
             while at < len(keys):
                 to = at
-                while to < len(keys) and to - at < BLOCK and keys[to] == keys[at] and roles[to] == roles[at]:
+                while to < len(keys) and keys[to] == keys[at]:
                     to += 1
-                if keys[at] != key:
-                    if here is not None:
-                        yield told(here.rows())
-                    key, members, here = keys[at], [], None
-                part = whole.slice(at, to - at)
-                x = unit(_matrix(part.column("x")))
-                cid, m = (part.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "m"))
-                if roles[at] == 0:
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-                    members.append({"cid": cid, "m": m, "x": x, "codes": codes, "error": part.column("error").to_numpy(zero_copy_only=False), "probes": part.column("probes").to_pylist()})
-                elif members:
-                    if here is None:
-                        here = _List(shared.value, key[1], threshold, members)
-                    yield told(list(here.meet(cid, m, x, part.column("home").to_numpy(zero_copy_only=False))))
+                if keys[at][:5] != now:
+                    if now is not None:
+                        yield from told(now, held)
+                    now, held = keys[at][:5], ([], [])
+                held[keys[at][5]].append(batch.slice(at, to - at).select(["cid", "x", "m", "home", "codes", "error", "probes"]))
                 at = to
-        if here is not None:
-            yield told(here.rows())
+        if now is not None:
+            yield from told(now, held)
 
     return run
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """Distinct usable vectors of a label: cid (a number of its own), label, x, n (components), least vec_id, m rows."""
-    usable = "label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
-    rows = vectors.where(usable)
-    return rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).select(F.monotonically_increasing_id().alias("cid"), "label", F.col("embedding").alias("x"), F.size("embedding").alias("n"), "least", "m")
+_USABLE = "label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
+_KEY = ["label", "h1", "h2"]
+
+
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """Usable vectors with the hashes that equal ones share."""
+    return vectors.where(_USABLE).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")})
 
 
-def _found(classes: DataFrame, count: int, threshold: float, lists: int | None) -> DataFrame:
-    """(kind, a, b) of classes with equally many components: kind 0 links of a, kind 1 an edge."""
-    spark = classes.sparkSession
-    share = min(1.0, SAMPLE / count)
-    sample = classes.where(F.pmod(F.xxhash64("x"), F.lit(1_000_003)) < math.ceil(share * 1_000_003)).select("x").toArrow().column("x").combine_chunks()
+def _fitted(rows: DataFrame, count: int, labels: int, lists: int | None) -> Quantiser:
+    """Fits on the classes in a share of the hashes; copies are dropped before they reach the driver."""
+    wanted = lists or max(1, math.isqrt(count))
+    share = math.ceil(min(1.0, max(SAMPLE, PER_LIST * wanted) / count) * 1_000_003)
+    sample = rows.where(F.pmod("h1", F.lit(1_000_003)) < share).dropDuplicates(["h1", "h2"]).select("embedding").toArrow().column(0).combine_chunks()
     if not len(sample):
-        sample = classes.select("x").limit(SAMPLE).toArrow().column("x").combine_chunks()
-    rows = unit(_matrix(sample))
-    rows = rows[np.lexsort(rows.T)]
-    shared = spark.sparkContext.broadcast(fit(rows, lists or min(MOST_LISTS, max(1, math.isqrt(count)))))
+        sample = rows.limit(1).select("embedding").toArrow().column(0).combine_chunks()
+    x = unit(_matrix(sample))
+    return fit(x[np.lexsort(x.T)], wanted, max(1, round(count / (labels * CELL))))
+
+
+def _found(classes: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
+    """(kind, a, b) of classes with equally many components."""
+    shared = classes.sparkSession.sparkContext.broadcast(model)  # as many centroids as the root of the classes
     kind = classes.schema["x"].dataType.simpleString()
-    placed = stored(classes.select("cid", "label", "x", "m").mapInArrow(_assign(shared, threshold), f"cid long, label string, x {kind}, m long, home int, codes binary, error double, probes array<int>"), "placed")
-    asked = placed.select("cid", "label", "x", "m", "home", F.explode("probes").alias("list"))
-    sizes = placed.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count("*") / MEMBERS).alias("ci"))
-    asks = asked.groupBy("label", "list").agg(F.ceil(F.count("*") / QUERIES).alias("cj"))
-    chunks = stored(sizes.join(asks, ["label", "list"]), "chunks")
-    dealt = F.pmod(F.xxhash64("cid"), F.col("ci"))
-    members = placed.withColumnRenamed("home", "list").join(chunks, ["label", "list"]).select("label", "list", dealt.alias("i"), F.explode(F.expr("sequence(0L, cj - 1)")).alias("j"), F.lit(0).alias("role"), "cid", "x", "m", F.col("list").alias("home"), "codes", "error", "probes")
-    queries = asked.join(chunks, ["label", "list"]).select("label", "list", F.explode(F.expr("sequence(0L, ci - 1)")).alias("i"), F.pmod(F.xxhash64("cid"), F.col("cj")).alias("j"), F.lit(1).alias("role"), "cid", "x", "m", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("array<int>").alias("probes"))
-    key = ["label", "list", "i", "j"]
-    return members.union(queries).repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_search(shared, threshold), "kind long, a long, b long")
+    schema = f"cid long, label string, x {kind}, m long, home int, cell int, others array<int>, probes array<int>, codes binary, error double"
+    placed = stored(classes.select("cid", "label", "x", "m").mapInArrow(_assign(shared, threshold), schema), "placed")
+    own = placed.groupBy("label", "cell").agg(F.count("*").alias("n"))
+    away = placed.select("label", F.explode("others").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("asking"))
+    pieces = own.join(away, ["label", "cell"], "left").select("label", "cell", F.ceil(F.col("n") / MEMBERS).alias("ci"), F.ceil((F.col("n") + F.coalesce("asking", F.lit(0))) / QUERIES).alias("cj"))
+    pieces = stored(pieces.withColumn("whole", (F.col("ci") == 1) & (F.col("cj") == 1)), "pieces")
+    key, body = ["label", "cell", "i", "j", "whole"], ["cid", "x", "m", "home", "codes", "error", "probes"]
+    members = placed.join(pieces, ["label", "cell"])
+    members = members.select("label", "cell", F.pmod(F.xxhash64("cid"), F.col("ci")).alias("i"), F.explode(F.expr("sequence(0L, cj - 1)")).alias("j"), "whole", F.lit(0).alias("role"), *body)
+    asked = placed.select("label", F.explode(F.concat("others", F.array("cell"))).alias("to"), "cell", *body)
+    asked = asked.join(pieces.withColumnRenamed("cell", "to"), ["label", "to"]).where("to <> cell OR NOT whole")
+    queries = asked.select("label", F.col("to").alias("cell"), F.explode(F.expr("sequence(0L, ci - 1)")).alias("i"), F.pmod(F.xxhash64("cid"), F.col("cj")).alias("j"), "whole", F.lit(1).alias("role"), *body)
+    met_by = members.union(queries).repartition(*key).sortWithinPartitions(*key, "role")
+    return met_by.mapInArrow(_search(shared, threshold), "kind long, a long, b long")
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = None) -> DataFrame:
@@ -231,14 +312,19 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = N
     Vectors with equal labels, not null, and as many components are linked where their cosine
     is found to be threshold or more. Null, empty and zero vectors and those with null or
     non-finite components have no links. n_links counts rows: copies link each other. Rows
-    without a vec_id take part; component_id is the least vec_id of the component.
+    without a vec_id take part; component_id is the least vec_id of the component. A model is
+    fitted for each number of components.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
-    classes = stored(_classes(rows), "classes")
-    spread = classes.groupBy("n").count().collect()  # one row for each number of components
+    keyed = _keyed(rows)
+    sized = keyed.select(F.size("embedding").alias("n"), *_KEY)
+    spread = sized.distinct().groupBy("n").agg(F.count("*").alias("count"), F.count_distinct("label").alias("labels")).collect()  # one row for each number of components
+    grouped = keyed.groupBy(*_KEY).agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("embedding").alias("x"))
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("cid"), *_KEY, "x", F.size("x").alias("n"), "least", "m"), "classes")
     found = None
     for r in spread:
-        part = _found(classes.where(F.col("n") == r["n"]), r["count"], threshold, lists)
+        model = _fitted(keyed.where(F.size("embedding") == r["n"]), r["count"], r["labels"], lists)
+        part = _found(classes.where(F.col("n") == r["n"]), model, threshold)
         found = part if found is None else found.union(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "kind long, a long, b long")
@@ -248,6 +334,11 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = N
     least = classes.select("cid", "least")
     named = stored(owner.join(least, owner["node"] == least["cid"]).groupBy("component").agg(F.min("least").alias("first")), "named")
     firsts = stored(owner.withColumnRenamed("component", "_component").join(named, F.col("_component") == F.col("component")).select(F.col("node").alias("cid"), "first"), "firsts")
-    whole = stored(classes.join(counts, "cid", "left").join(firsts, "cid", "left").select(F.col("label").alias("_label"), F.col("x").alias("_x"), (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.least("first", "least").alias("component_id")), "whole")
-    joined = rows.join(whole, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_x")), "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_x").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    links = (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links")
+    whole = classes.join(counts, "cid", "left").join(firsts, "cid", "left").select(*(F.col(c).alias(f"_{c}") for c in _KEY), links, F.least("first", "least").alias("component_id"))
+    whole = stored(whole, "whole")
+    for old in (classes, found, named, firsts):
+        discard(old)
+    keys = rows.select("vec_id", *(F.when(F.expr(_USABLE), column).alias(name) for name, column in zip(_KEY, (F.col("label"), F.xxhash64("embedding"), F.xxhash64(F.lit(7), "embedding")), strict=True)))
+    joined = keys.join(whole, [F.col(c) == F.col(f"_{c}") for c in _KEY], "left")
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
