@@ -35,7 +35,7 @@ from tidewheel.llm.common import as_bytes, fresh_path, mixed, powers, same, sign
 
 K1, B = 1.2, 0.75
 #: Documents, and bytes of text, of a shard's index; documents of a block; queries of a batch.
-SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, BATCH = 4096, 1 << 24, 64, 256
+SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, BATCH = 2048, 1 << 23, 64, 256
 #: Terms in more than this share of a shard's documents are frequent: the matrix has their columns, at most so many.
 FREQUENT, MOST_FREQUENT = 1 / 20, 1024
 #: Relative error of a single-precision sum of up to MOST_FREQUENT and as many rare terms as a text has, with room.
@@ -317,6 +317,7 @@ def _search(path: str, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(shard: Shard) -> Iterator[pa.RecordBatch]:
             index = Index(shard, mean)
+            shard.terms.clear()
             for batch in _query_batches(path):
                 rows: list[list] = [[], [], [], []]
                 for query, tag, (docs, scores) in zip(batch.ids, batch.tags, index.search(batch, k), strict=True):
