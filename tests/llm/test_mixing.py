@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -101,3 +102,55 @@ def test_empty_tables(spark, make, table):
     blank = make([(1, "", None, "a", None), (2, None, None, None, None)])
     assert [(r["taken"], r["target"]) for r in mixing.mix(blank).taken().collect()] == [(0, 0.0)] * 2
     assert mixing.mixed_documents(blank, mixing.mix(blank)).count() == 0
+
+
+def test_large_draws_have_the_hypergeometric_distribution():
+    for good, bad, need in ((7, 5, 4), (40, 200, 60), (300, 20, 310), (1, 9, 5)):
+        exact = [math.comb(good, k) * math.comb(bad, need - k) / math.comb(good + bad, need) for k in range(max(0, need - bad), min(good, need) + 1)]
+        first = max(0, need - bad)
+        assert np.allclose([math.exp(mixing.log_hypergeometric(first + i, good, bad, need)) for i in range(len(exact))], exact, rtol=1e-9)
+        rng = np.random.default_rng(3)
+        drawn = np.bincount([mixing.large_draw(rng, good, bad, need) - first for _ in range(20_000)], minlength=len(exact))
+        some = np.array(exact) * 20_000 > 5
+        assert len(drawn) == len(exact)
+        assert (((drawn - np.array(exact) * 20_000) ** 2)[some] / (np.array(exact) * 20_000)[some]).sum() < 3 * some.sum() + 12
+
+
+def test_draws_far_beyond_the_generators_range():
+    good, bad, need = 3 * 10**11, 7 * 10**12, 10**12
+    k = need * good // (good + bad)
+    for step in (0, 10**5, -(10**6)):  # ratios of neighbouring probabilities are exact fractions
+        at = k + step
+        ratio = (good - at) * (need - at) / ((at + 1) * (bad - need + at + 1))
+        assert math.isclose(mixing.log_hypergeometric(at + 1, good, bad, need) - mixing.log_hypergeometric(at, good, bad, need), math.log(ratio), abs_tol=1e-6)
+    rng = np.random.default_rng(5)
+    for swap in (False, True):
+        drawn = np.array([mixing.large_draw(rng, *((bad, good) if swap else (good, bad)), need) for _ in range(2000)], dtype=float)
+        mean = need * (bad if swap else good) / (good + bad)
+        sd = math.sqrt(need * (good / (good + bad)) * (bad / (good + bad)) * ((good + bad - need) / (good + bad - 1)))
+        assert abs(drawn.mean() - mean) < 4 * sd / math.sqrt(2000) and 0.9 < drawn.std() / sd < 1.1
+
+
+def test_targets_hold_when_every_draw_is_a_large_one(spark, make, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMPY_MOST", 0)
+    left = np.array([700, 0, 90, 3000])
+    counts = [mixing.shard_counts(left.tolist(), s, 128, 9) for s in range(-(-int(left.sum()) // 128))]
+    assert np.array_equal(sum(c for c, _ in counts), left) and all((c >= 0).all() and c.sum() <= 128 for c, _ in counts)
+    before = np.zeros(4, dtype=np.int64)
+    for c, b in counts:
+        assert np.array_equal(b, before)
+        before = before + c
+
+
+def test_many_buckets_are_numbered_without_gaps(spark, make, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_WORDS", 64)
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
+    rows = corpus()
+    plan = mixing.mix(make(rows))
+    blocks = {}
+    for r in plan.pieces.select("sid", "block").distinct().collect():
+        blocks.setdefault(r["sid"], set()).add(r["block"])
+    assert all(blocks.get(i, set()) == set(range(n)) for i, (_, _, _, n, _) in enumerate(plan.sources))
+    total, aim = brute_targets(rows)
+    taken = {r["source_size"]: r["n"] for r in plan.taken().groupBy("source_size").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    assert all(abs(taken[n] - aim[s]) <= max(4 * mixing.BLOCK, 0.03 * aim[s]) for s, n in total.items())

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.conftest import EDGES, text_of
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -60,3 +62,17 @@ def test_stages_and_run(spark, make, table):
 
 def test_empty_table(spark, make, table):
     assert corpus_pipeline.run(spark, table(documents=make([]))).count() == 0
+
+
+def test_columns_that_clash_with_names_of_the_stages(spark, make):
+    """Stages keep what they are given, whatever it is called."""
+    extra = ["_doc", "_key", "_language", "_score", "_n_lines", "_n_dropped", "_tidewheel_keep", "_tidewheel_takes", "doc", "Key", "keep", "takes", "language", "score", "n_lines", "n_dropped", "fp", "uid", "component_id"]
+    docs = make(corpus(3, 60), extra=False)
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(i))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[name] == i for r in rows for i, name in enumerate(extra)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.sources.shared import fresh_path, shared_dir, stored
 
-__all__ = ["as_bytes", "discard", "fresh_path", "mixed", "packed", "packed_texts", "powers", "release", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "text_slices", "unpacked"]
+__all__ = ["as_bytes", "discard", "fresh_path", "mixed", "packed", "packed_texts", "powers", "release", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "quoted", "text_slices", "unpacked", "unused"]
 
 T = TypeVar("T")
 
@@ -48,6 +48,22 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it, whatever the case."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, also if it holds a dot."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import as_bytes, resident, slices
+from tidewheel.llm.common import as_bytes, quoted, resident, slices
 
 START = "▁"
 #: Words longer than this are scored in parts of this many characters.
@@ -340,6 +340,6 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     Every row is scored by itself: repeated rows, ties and null ids change nothing; on a tie
     the first language in code-point order is returned. A text of any length is read whole.
     """
-    fields = [*docs.select(*keep).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    fields = [*docs.select(*map(quoted, keep)).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    rows = docs.select(*map(quoted, dict.fromkeys([*keep, "text"])))
     return rows.mapInArrow(_predictor(docs.sparkSession, model, list(keep), names), T.StructType(fields))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import as_bytes, same, signed, slices, small_table, stored
+from tidewheel.llm.common import as_bytes, quoted, same, signed, slices, small_table, stored, unused
 
 _ROWS = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("lines", T.ArrayType(T.IntegerType()))])
 #: kind 0: these lines go; 1: they go if the totals say so; 2: totals of a first or last run (doc_id: its largest, n_lines: its documents).
@@ -176,9 +176,12 @@ def _apply(names: list[str], added: tuple[str, str]):
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with the lines that a bitmap drops taken out of text, then the lines before and the lines dropped.
 
-    ``added`` names the two new columns; docs must not have columns of these names.
+    ``added`` names the two new columns; where docs has a column of such a name, it keeps it and
+    the new one gets an underscore behind its name.
     """
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("keep").alias("_tidewheel_keep"))
-    joined = docs.join(marks, same(docs["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left").select(*[docs[c] for c in docs.columns], "_tidewheel_keep")
+    added = tuple(unused(docs.columns, *added))
+    doc, key, keep = unused(docs.columns, "doc", "key", "keep")
+    marks = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("keep").alias(keep))
+    joined = docs.join(marks, same(F.col("doc_id").cast("long"), F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left").select(*map(quoted, docs.columns), keep)
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType())])
     return joined.mapInArrow(_apply(docs.columns, added), schema)

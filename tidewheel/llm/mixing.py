@@ -15,16 +15,18 @@ ordinary join on (source, block). Everything is a function of the seed: reruns a
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import as_bytes, same, signed, slices, small_table, stored
+from tidewheel.llm.common import as_bytes, discard, quoted, same, signed, slices, small_table, stored, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -32,9 +34,10 @@ MOST_TIMES = 2.0
 #: Words of a block, and slots of an output shard.
 BLOCK = 64
 SHARD_SLOTS = 4096
-#: Words that a bucket should hold, and the most buckets a source is dealt to.
-BUCKET_WORDS = 1 << 17
-MOST_BUCKETS = 4096
+#: Words that a bucket should hold, and buckets that are numbered together.
+BUCKET_WORDS, BUCKETS = 1 << 17, 4096
+#: Populations from which numpy's generator draws; larger ones go through large_draw. Both draw exactly.
+NUMPY_MOST = 10**9 - 1
 
 
 def targets(sizes: list[float], weights: list[float], total: float, most: float = MOST_TIMES) -> list[float]:
@@ -57,8 +60,6 @@ def targets(sizes: list[float], weights: list[float], total: float, most: float
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for batch in slices(batches):
         texts = as_bytes(batch.column("text"))
         size = [len(x.split()) if x else 0 for x in texts]
@@ -66,6 +67,63 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(key, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "source", "text_key", "size"])
 
 
+def _stirling_error(n: float) -> float:
+    """log n! less Stirling's approximation of it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    square = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * square)) / square) / square) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where x is near mean."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, power = (x - mean) * v, 2 * x * v
+    for j in range(1, 1000):
+        power *= v * v
+        more = total + power / (2 * j + 1)
+        if more == total:
+            break
+        total = more
+    return total
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log-probability of x successes in n, by the saddle-point expansion (Loader, 2000): accurate at any n."""
+    if x in (0, n):
+        return n * math.log1p(-p) if x == 0 else n * math.log(p)
+    error = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x)
+    return error - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) - 0.5 * math.log(2 * math.pi * x * (1 - x / n))
+
+
+def log_hypergeometric(k: int, good: int, bad: int, need: int) -> float:
+    """Log-probability that k of need draws without replacement are good."""
+    p = need / (good + bad)
+    return _log_binomial(k, good, p) + _log_binomial(need - k, bad, p) - _log_binomial(need, good + bad, p)
+
+
+def large_draw(rng: np.random.Generator, good: int, bad: int, need: int) -> int:
+    """A hypergeometric draw from a population of any size, by ratio of uniforms (Stadlober, 1990)."""
+    if good > bad:
+        return need - large_draw(rng, bad, good, need)
+    if 2 * need > good + bad:
+        return good - large_draw(rng, good, bad, good + bad - need)
+    rest = good + bad
+    low, high = max(0, need - bad), min(good, need)
+    mean = need * (good / rest)
+    variance = mean * (bad / rest) * ((rest - need) / (rest - 1))
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(variance + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    mode = min(high, max(low, (need + 1) * (good + 1) // (rest + 2)))
+    top = log_hypergeometric(mode, good, bad, need)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= log_hypergeometric(k, good, bad, need) - top:
+            return k
+
+
 def _split(rng: np.random.Generator, left: np.ndarray, slots: int) -> np.ndarray:
     """How many of each source fall in the first ``slots`` slots, when left[s] of each are dealt at random."""
     out, rest, need = np.zeros_like(left), int(left.sum()), slots
@@ -74,12 +132,10 @@ def _split(rng: np.random.Generator, left: np.ndarray, slots: int) -> np.ndarray
         low, high = max(0, need - others), min(n, need)
         if low == high:
             take = low
-        elif rest < 10**9:
+        elif rest <= NUMPY_MOST:
             take = int(rng.hypergeometric(n, others, need))
-        else:  # beyond the generator's range: the normal limit
-            mean = need * (n / rest)
-            spread = math.sqrt(mean * (1 - n / rest) * ((rest - need) / (rest - 1)))
-            take = min(high, max(low, round(rng.normal(mean, spread))))
+        else:
+            take = large_draw(rng, n, others, need)
         out[s] = take
         need -= take
         rest = others
@@ -133,7 +189,7 @@ def _slots(draws: list[int], blocks: list[int], shard_slots: int, seed: int):
                         epoch[at : at + n] = k // blocks[s]
                         for e in np.unique(epoch[at : at + n]).tolist():
                             here = at + np.flatnonzero(epoch[at : at + n] == e)
-                            block[here] = permuted(k[here - at] % blocks[s], blocks[s], hash((seed, s, e)) & 0xFFFFFFFF)
+                            block[here] = permuted(k[here - at] % blocks[s], blocks[s], xxhash.xxh64_intdigest(struct.pack("<qqq", seed, s, e)))
                         at += n
                 slot = np.random.default_rng([seed, 1, shard]).permutation(len(sid))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sid, block, epoch, np.full(len(sid), shard), slot)], names=["sid", "block", "epoch", "shard", "slot"])
@@ -182,12 +238,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources = sorted(((r["source"], r["n"]) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
     words = [n for _, n in sources]
     aim = targets(words, [weights[i % len(weights)] for i in range(len(words))], share * sum(words), most)
-    table = [(i, s, n, aim[i], min(MOST_BUCKETS, max(1, -(-n // BUCKET_WORDS)))) for i, (s, n) in enumerate(sources)]
+    table = [(i, s, n, aim[i], max(1, -(-n // BUCKET_WORDS))) for i, (s, n) in enumerate(sources)]
     known = small_table(spark, table, "sid long, _source string, source_size long, target double, buckets long")
     dealt = sized.join(known, same(F.col("source"), F.col("_source"))).drop("_source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("buckets")))
     per_bucket = dealt.groupBy("sid", "bucket").agg(F.ceil(F.sum("size") / F.lit(block)).alias("n"))
-    order = Window.partitionBy("sid").orderBy("bucket")
-    bases = stored(per_bucket.withColumn("base", F.sum("n").over(order) - F.col("n")), "bases")
+    per_bucket = stored(per_bucket.withColumn("run", F.expr(f"bucket div {BUCKETS}")), "buckets")
+    # runs of buckets are numbered first, then the buckets in each, so no task sees all buckets of a source
+    runs = per_bucket.groupBy("sid", "run").agg(F.sum("n").alias("in_run"))
+    runs = runs.withColumn("before", F.sum("in_run").over(Window.partitionBy("sid").orderBy("run")) - F.col("in_run"))
+    inside = F.sum("n").over(Window.partitionBy("sid", "run").orderBy("bucket")) - F.col("n")
+    bases = stored(per_bucket.withColumn("inside", inside).join(runs, ["sid", "run"]).select("sid", "bucket", "n", (F.col("before") + F.col("inside")).alias("base")), "bases")
+    discard(per_bucket)
     blocks = {r["sid"]: r["n"] for r in bases.groupBy("sid").agg(F.sum("n").alias("n")).collect()}
     blocks = [int(blocks.get(i, 0)) for i in range(len(words))]
     draws = [min(round(aim[i] / words[i] * blocks[i]), int(most * blocks[i])) if words[i] else 0 for i in range(len(words))]
@@ -213,7 +274,7 @@ def _texts(names: list[str]):
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         for batch in slices(batches):
             take, out = [], []
-            for i, (text, takes) in enumerate(zip(as_bytes(batch.column("text")), batch.column("_tidewheel_takes").to_pylist(), strict=True)):
+            for i, (text, takes) in enumerate(zip(as_bytes(batch.column("text")), batch.column(len(names)).to_pylist(), strict=True)):
                 spans = None
                 for one in takes:
                     ranges = _merged(one["ranges"])
@@ -223,7 +284,7 @@ def _texts(names: list[str]):
                         spans = spans or [m.span() for m in word.finditer(text)]
                         out.append(b"\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in ranges))
                     take.append(i)
-            columns = [batch.column(c).take(pa.array(take, pa.int64())) for c in names]
+            columns = [batch.column(i).take(pa.array(take, pa.int64())) for i in range(len(names))]
             columns[at] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -250,9 +311,10 @@ def mixed_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """
     row = ["doc_id", "text_key", "sid", "bucket", "start", "epoch"]
     each = mixture.sequence().groupBy(*row, "size").agg(F.collect_list(F.struct("first", "words")).alias("ranges"))
-    takes = each.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("ranges", "size")).alias("_tidewheel_takes"))
+    doc, key, taken = unused(docs.columns, "doc", "key", "takes")
+    takes = each.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.collect_list(F.struct("ranges", "size")).alias(taken))
     base = docs
     if not mixture.pieces.select("doc_id", "text_key", "sid", "bucket", "start").distinct().groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         base = base.dropDuplicates(["doc_id", "text"])
-    joined = base.join(takes, same(base["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(base["text"]) == F.col("_key"))).select(*[base[c] for c in base.columns], "_tidewheel_takes")
+    joined = base.join(takes, same(F.col("doc_id").cast("long"), F.col(doc)) & (F.xxhash64("text") == F.col(key))).select(*map(quoted, base.columns), taken)
     return joined.mapInArrow(_texts(base.columns), T.StructType(base.schema.fields))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import as_bytes, same, signed, slices, stored
+from tidewheel.llm.common import as_bytes, same, signed, slices, stored, unused
 from tidewheel.llm.components import components
 
 SEED = 42
@@ -240,6 +240,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """keep_one for any groups: doc_id, text_key, group_fp and component_id of every row of docs."""
     firsts = groups.where(same(F.col("doc_id"), F.col("component_id")))
     rows = stored(firsts.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("n")), "firsts")
-    chosen = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "doc_id")).alias("c")).select(F.col("c.doc_id").alias("_doc"), F.col("c.text_key").alias("_key"))
-    kept = docs.join(chosen, same(docs["doc_id"].cast("long"), F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_semi")
+    doc, key = unused(docs.columns, "doc", "key")
+    chosen = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "doc_id")).alias("c")).select(F.col("c.doc_id").alias(doc), F.col("c.text_key").alias(key))
+    kept = docs.join(chosen, same(F.col("doc_id").cast("long"), F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_semi")
     return kept if rows.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
