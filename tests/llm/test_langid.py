@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -63,10 +65,66 @@ def test_expected_uses_are_derivatives():
         assert np.allclose(slope, uses[i], atol=1e-4)
 
 
-def test_long_words_are_scored_in_parts():
-    pieces = langid.pieces_of(langid.default_vocabulary())
-    p = np.full((len(pieces) + 1, 1), 1e-4)
-    assert np.isfinite(langid.Lattice([b"a" * 5000], langid.Trie(pieces)).log_scores(p)).all()
+def plain_log(word, p, ids):
+    """The sum over all segmentations of a word of any length, in exact fractions."""
+    text, depth = langid.START + word, max(map(len, ids))
+    out = []
+    for column in p.T:
+        exact, uncovered = {x: Fraction(float(column[i])) for x, i in ids.items()}, Fraction(float(column[-1]))
+        reach = [Fraction(1)]
+        for j in range(1, len(text) + 1):
+            total = Fraction(0)
+            for n in range(1, min(depth, j) + 1):
+                x = text[j - n : j]
+                total += reach[j - n] * (exact[x] if x in exact else uncovered if n == 1 else 0)
+            # as many digits as double precision needs, of numbers of any size
+            bits = max(0, total.numerator.bit_length() - 200)
+            shift = max(0, total.denominator.bit_length() - total.numerator.bit_length() + 200)
+            reach.append(Fraction(round(total * (1 << shift)), 1 << shift) if bits or shift else total)
+        last = reach[-1]
+        out.append((math.log(last.numerator >> max(0, last.numerator.bit_length() - 900)) + max(0, last.numerator.bit_length() - 900) * math.log(2)) - last.denominator.bit_length() * math.log(2) + math.log(2))
+    return out
+
+
+PIECES = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba", "abababab", "这是", "的", "ü"]
+
+
+@pytest.mark.parametrize("places", [8, 50, 1024])
+def test_words_of_any_length_are_summed_over_all_segmentations(monkeypatch, places):
+    monkeypatch.setattr(langid, "PLACES", places)
+    rng = random.Random(places)
+    ids = {x: i for i, x in enumerate(PIECES)}
+    p = np.random.default_rng(2).random((len(PIECES) + 1, 2)) ** 3 + 1e-6
+    p[-1] = 1e-8
+    words = ["a", "abab" * 6, "x" * 40, "x" * 47, "ж" * 300, "这是的" * 40, "ab", *("".join(rng.choice("abüж的") for _ in range(n)) for n in (23, 24, 25, 49, 129, 300))]
+    found = langid.Lattice([w.encode() for w in words], langid.Trie(PIECES)).log_scores(p)
+    for w, row in zip(words, found, strict=True):
+        assert np.allclose(row, plain_log(w, p, ids), rtol=1e-9), w
+
+
+@pytest.mark.parametrize("places", [9, 1024])
+def test_expected_uses_of_long_words(monkeypatch, places):
+    """The same from logarithms part by part as from products of whole words, and as many characters as the words have."""
+    p = np.random.default_rng(4).random((len(PIECES) + 1, 2)) ** 2 + 1e-6
+    words = [b"ab" * 9, b"abba" * 5, b"x" * 20, b"a"]
+    counts = np.array([[2.0, 1.0], [0.0, 3.0], [1.0, 1.0], [5.0, 0.5]])
+    whole = langid.Lattice(words, langid.Trie(PIECES)).expected(p, counts)
+    monkeypatch.setattr(langid, "SHORT", 1)
+    monkeypatch.setattr(langid, "PLACES", places)
+    assert np.allclose(langid.Lattice(words, langid.Trie(PIECES)).expected(p, counts), whole)
+    long = [b"ab" * 400, ("ж" * 300).encode()]
+    uses = langid.Lattice(long, langid.Trie(PIECES)).expected(p, np.ones((2, 2)))
+    length = np.array([*map(len, PIECES), 1])
+    assert np.allclose((uses * length[:, None]).sum(axis=0), 801 + 301)
+
+
+def test_texts_with_long_words_leave_no_trace(monkeypatch):
+    model = langid.Model(["x", "y"], PIECES, np.random.default_rng(6).random((len(PIECES) + 1, 2)))
+    texts = [b"ab " + b"ab" * 200 + b" ba", b"", "这是的".encode() * 90, b"a b ab", None, b"123"]
+    scorer = langid.Scorer(model)
+    both = scorer.predict_all(texts)
+    assert both == [langid.Scorer(model).predict(x) for x in texts] == scorer.predict_all(texts)
+    assert max(map(len, scorer.at)) <= 4 * langid.SHORT
 
 
 def test_op9(spark, make, table):

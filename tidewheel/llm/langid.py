@@ -16,6 +16,7 @@ hash of doc_id; whole texts). Prediction reads nothing but the text.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import as_bytes, quoted, resident, slices
+from tidewheel.llm.common import as_bytes, quoted, resident, slices, text_slices
 
 START = "▁"
-#: Words longer than this are scored in parts of this many characters.
-PART = 48
-#: Characters of the longest piece used.
-LONGEST = 16
-#: Words whose scores a Python worker keeps.
+#: Characters, start mark included, of the words whose probabilities are multiplied as they are; longer words' are added as logarithms.
+SHORT = 24
+#: Places of a long word whose segmentations are held at a time, and numbers of a group of long words.
+PLACES, NUMBERS = 1024, 1 << 20
+#: Short words whose scores a Python worker keeps.
 CACHE_WORDS = 250_000
 #: Share of probability that a language gives to pieces it was never seen to use.
 UNSEEN = 1e-3
@@ -60,7 +61,7 @@ def pieces_of(path: str) -> list[str]:
     kept = {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(piece) <= LONGEST:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             kept.setdefault(piece.lower(), None)
     return list(kept)
 
@@ -93,7 +94,7 @@ class Trie:
 
     def __init__(self, pieces: list[str]):
         steps: dict[tuple[int, int], int] = {}
-        self.ids = len(pieces)
+        self.ids, self.depth = len(pieces), max(map(len, pieces), default=1)
         ends = {}
         for i, piece in enumerate(pieces):
             node = 0
@@ -129,74 +130,168 @@ class Trie:
         return out
 
 
+def _edges(texts: list[str], trie: Trie, begins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end, begin, text, piece) of each piece at each of the first ``begins`` places of each text, by end and text; where each end starts."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
+    room = size[text] - place
+    at = np.flatnonzero(place < begins)
+    node, found, n = np.zeros(len(at), dtype=np.int64), [], 0
+    while len(at):
+        n += 1
+        node = trie.step(node, chars[at + n - 1])
+        ids = np.where(node >= 0, trie.end[node], -1)
+        if n == 1:
+            ids = np.where(ids < 0, trie.ids, ids)
+        hit = ids >= 0
+        here = at[hit]
+        found.append(np.stack([place[here] + n, place[here], text[here], ids[hit]], axis=1))
+        on = (node >= 0) & (room[at] > n)
+        at, node = at[on], node[on]
+    e = np.concatenate(found) if found else np.zeros((0, 4), dtype=np.int64)
+    e = e[np.argsort(e[:, 0] * max(1, len(texts)) + e[:, 2], kind="stable")]
+    last = int(e[-1, 0]) if len(e) else 0
+    return e, np.searchsorted(e[:, 0], np.arange(last + 2))
+
+
+def _log_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp of runs of rows."""
+    top = np.maximum.reduceat(x, starts, axis=0)
+    top[~np.isfinite(top)] = 0.0
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[starts, len(x)]), axis=0)), starts, axis=0))
+
+
+def _runs(column: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+
+
+class _Long:
+    """Some words, longest first, whose segmentations are walked PLACES places at a time, in logarithms."""
+
+    def __init__(self, words: list[str], trie: Trie, p: np.ndarray):
+        self.words, self.trie, self.log = words, trie, np.log(p)
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.shape = (PLACES + trie.depth + 1, len(words), p.shape[1])
+
+    def _part(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        last = first + PLACES + self.trie.depth
+        going = int((self.size > first).sum())
+        return _edges([w[first:last] for w in self.words[:going]], self.trie, PLACES)
+
+    def _ahead(self, state: np.ndarray, edges: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Log-probability of all ways to reach each place, from what the places before this part give."""
+        alpha = np.full(self.shape, -np.inf)
+        alpha[: len(state)] = state
+        for j in range(1, len(cuts) - 1):
+            e = edges[cuts[j] : cuts[j + 1]]
+            if len(e):
+                starts = _runs(e[:, 2])
+                more = _log_sums(alpha[e[:, 1], e[:, 2]] + self.log[e[:, 3]], starts)
+                which = e[starts, 2]
+                alpha[j, which] = np.logaddexp(alpha[j, which], more)
+        return alpha
+
+    def forward(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The words' log-probabilities, and what reaches the beginning of each part."""
+        state = np.full((self.trie.depth + 1, *self.shape[1:]), -np.inf)
+        state[0] = 0.0
+        total, states = np.zeros(self.shape[1:]), []
+        for first in range(0, int(self.size.max()), PLACES):
+            states.append(state)
+            alpha = self._ahead(state, *self._part(first))
+            ends = np.flatnonzero((self.size > first) & (self.size <= first + PLACES))
+            total[ends] = alpha[self.size[ends] - first, ends]
+            state = alpha[PLACES:]
+        return total, states
+
+    def expected(self, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece when word w occurs counts[w, language] times."""
+        total, states = self.forward()
+        uses = np.zeros_like(self.log)
+        beta = np.full(self.shape, -np.inf)
+        for number in range(len(states) - 1, -1, -1):
+            first = number * PLACES
+            edges, cuts = self._part(first)
+            alpha = self._ahead(states[number], edges, cuts)
+            after = beta[: self.trie.depth + 1].copy()
+            beta[:] = -np.inf
+            beta[PLACES:] = after
+            ends = np.flatnonzero((self.size > first) & (self.size <= first + PLACES))
+            beta[self.size[ends] - first, ends] = 0.0
+            back = edges[np.argsort(edges[:, 1] * len(self.words) + edges[:, 2], kind="stable")]
+            for j in range(min(PLACES, int(back[-1, 1]) + 1) - 1, -1, -1):  # a place is reached back from all its ends
+                e = back[slice(*np.searchsorted(back[:, 1], [j, j + 1]))]
+                starts = _runs(e[:, 2])
+                flow = beta[e[:, 0], e[:, 2]] + self.log[e[:, 3]]
+                which = e[starts, 2]
+                beta[j, which] = np.logaddexp(beta[j, which], _log_sums(flow, starts))
+                with np.errstate(invalid="ignore"):
+                    share = np.exp(alpha[j, e[:, 2]] + flow - total[e[:, 2]])
+                np.add.at(uses, e[:, 3], np.nan_to_num(share) * counts[e[:, 2]])
+        return uses
+
+
 class Lattice:
-    """All segmentations of many words at once: an edge (end, begin, part, piece) for each piece at each place."""
+    """All segmentations of many words at once: an edge for each piece at each place.
+
+    The short words' probabilities cannot underflow and are sums of products; long words, of any
+    length, are summed in logarithms. Both are the sum over all segmentations of the whole word.
+    """
 
     def __init__(self, words: list[bytes], trie: Trie):
         texts = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
-        marked = [START + x for x in texts]
-        if max(map(len, marked), default=0) > PART:
-            parts = [(w, x[i : i + PART]) for w, x in enumerate(marked) for i in range(0, len(x), PART)]
-            self.part_word, marked = np.array([w for w, _ in parts], dtype=np.int64), [x for _, x in parts]
-        else:
-            self.part_word = np.arange(len(marked))
-        self.words, self.parts = len(words), len(marked)
-        self.size = np.fromiter(map(len, marked), np.int64, len(marked))
-        chars = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        part = np.repeat(np.arange(self.parts), self.size)
-        place = np.arange(len(chars)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        room = self.size[part] - place
-        at, node, found = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64), []
-        for n in range(1, LONGEST + 1):
-            node = trie.step(node, chars[at + n - 1])
-            ids = np.where(node >= 0, trie.end[node], -1)
-            if n == 1:
-                ids = np.where(ids < 0, trie.ids, ids)
-            hit = ids >= 0
-            here = at[hit]
-            found.append(np.stack([place[here] + n, place[here], part[here], ids[hit]], axis=1))
-            on = (node >= 0) & (room[at] > n)
-            at, node = at[on], node[on]
-            if not len(at):
-                break
-        e = np.concatenate(found) if found else np.zeros((0, 4), dtype=np.int64)
-        self.edges = e[np.argsort(e[:, 0] * max(1, self.parts) + e[:, 2], kind="stable")]
-        self.cuts = np.searchsorted(self.edges[:, 0], np.arange(PART + 2))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[place, part, language]: probability of all ways to reach a place."""
-        alpha = np.zeros((PART + 1, self.parts, p.shape[1]))
+        self.trie, self.marked = trie, [START + x for x in texts]
+        self.size = np.fromiter(map(len, self.marked), np.int64, len(texts))
+        self.short = np.flatnonzero(self.size <= SHORT)
+        self.edges, self.cuts = _edges([self.marked[i] for i in self.short.tolist()], trie, SHORT)
+
+    def _longs(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, _Long]]:
+        """Groups of long words of like length."""
+        where = np.flatnonzero(self.size > SHORT)
+        where = where[np.argsort(-self.size[where], kind="stable")]
+        step = max(1, NUMBERS // ((PLACES + self.trie.depth + 1) * max(1, p.shape[1])))
+        for at in range(0, len(where), step):
+            some = where[at : at + step]
+            yield some, _Long([self.marked[i] for i in some.tolist()], self.trie, p)
+
+    def _forward(self, p: np.ndarray) -> np.ndarray:
+        """alpha[place, short word, language]: probability of all ways to reach a place."""
+        alpha = np.zeros((SHORT + 1, len(self.short), p.shape[1]))
         alpha[0] = 1.0
-        for j in range(1, PART + 1):
+        for j in range(1, len(self.cuts) - 1):
             e = self.edges[self.cuts[j] : self.cuts[j + 1]]
-            if len(e):  # edges of one end place come part by part
-                starts = np.flatnonzero(np.r_[True, e[1:, 2] != e[:-1, 2]])
+            if len(e):  # edges of one end place come word by word
+                starts = _runs(e[:, 2])
                 alpha[j, e[starts, 2]] = np.add.reduceat(alpha[e[:, 1], e[:, 2]] * p[e[:, 3]], starts, axis=0)
         return alpha
 
     def log_scores(self, p: np.ndarray) -> np.ndarray:
-        """Natural log of each word's probability in each language."""
-        alpha = self.forward(p)
-        whole = np.log(np.maximum(alpha[self.size, np.arange(self.parts)], 1e-300))
-        out = np.zeros((self.words, p.shape[1]))
-        np.add.at(out, self.part_word, whole)
+        """Natural log of each word's probability in each language; no p is below 1e-12."""
+        out = np.zeros((len(self.marked), p.shape[1]))
+        out[self.short] = np.log(self._forward(p)[self.size[self.short], np.arange(len(self.short))])
+        for where, words in self._longs(p):
+            out[where] = words.forward()[0]
         return out
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece when word w occurs counts[w, language] times."""
-        alpha = self.forward(p)
-        every = np.arange(self.parts)
+        alpha = self._forward(p)
+        every, size = np.arange(len(self.short)), self.size[self.short]
         beta = np.zeros_like(alpha)
-        beta[self.size, every] = 1.0
-        total = np.maximum(alpha[self.size, every], 1e-300)
-        weight = counts[self.part_word] / total
+        beta[size, every] = 1.0
+        weight = counts[self.short] / alpha[size, every]
         uses = np.zeros_like(p)
-        for j in range(PART, 0, -1):
+        for j in range(len(self.cuts) - 2, 0, -1):
             e = self.edges[self.cuts[j] : self.cuts[j + 1]]
             if len(e):
                 flow = p[e[:, 3]] * beta[j, e[:, 2]]
                 np.add.at(uses, e[:, 3], alpha[e[:, 1], e[:, 2]] * flow * weight[e[:, 2]])
                 np.add.at(beta, (e[:, 1], e[:, 2]), flow)
+        for where, words in self._longs(p):
+            uses += words.expected(counts[where])
         return uses
 
 
@@ -279,42 +374,62 @@ class Scorer:
         self.at: dict[bytes, int] = {}
         self.logs = np.zeros((1024, len(self.languages) + 1))  # the last column holds characters
 
-    def _learn(self, words: list[bytes], block: int = 2048) -> None:
+    def _scored(self, words: list[bytes], block: int = 2048) -> np.ndarray:
+        """Logs of some words and, in the last column, their characters."""
+        out = np.zeros((len(words), len(self.languages) + 1))
         for i in range(0, len(words), block):
-            part = words[i : i + block]
-            n = len(self.at)
-            while len(self.logs) < n + len(part):
-                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[n : n + len(part), :-1] = Lattice(part, self.trie).log_scores(self.p)
-            self.logs[n : n + len(part), -1] = [_size(w) for w in part]
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+            out[i : i + block, :-1] = Lattice(words[i : i + block], self.trie).log_scores(self.p)
+        out[:, -1] = [_size(w) for w in words]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        n = len(self.at)
+        while len(self.logs) < n + len(words):
+            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+        self.logs[n : n + len(words)] = self._scored(words)
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
     def logs_of(self, text: bytes) -> tuple[np.ndarray, int]:
         """Log-probability of the text in each language, and its words."""
-        totals, n = self._totals(text)
-        return totals[:-1], n
+        totals, n = self._totals([text])
+        return totals[0, :-1], int(n[0])
 
-    def _totals(self, text: bytes) -> tuple[np.ndarray, int]:
-        """logs_of with the text's characters at the end."""
-        words = words_of(text)
+    def _totals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's log-probabilities with its characters at the end, and its words."""
+        split = [words_of(text) for text in texts]
         if len(self.at) > CACHE_WORDS:  # the oldest third stays: frequent words come early
             self.at = dict(itertools.islice(self.at.items(), CACHE_WORDS // 3))
-        new = set(words).difference(self.at)
-        if new:
-            self._learn(list(new))
-        if not words:
-            return np.zeros(len(self.languages) + 1), 0
-        return self.logs[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0), len(words)
+        new = set().union(*split).difference(self.at)
+        long = [w for w in new if len(w) > 4 * SHORT]  # four bytes a character at most; these hardly come again
+        self._learn(list(new.difference(long)))
+        self._learn(long)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        rows = np.fromiter(map(self.at.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+        for word in long:
+            del self.at[word]
+        out = np.zeros((len(texts), self.logs.shape[1]))
+        some = np.flatnonzero(counts)
+        if len(some):
+            starts = (np.cumsum(counts) - counts)[some]
+            out[some] = np.add.reduceat(self.logs[rows], starts, axis=0)
+        return out, counts
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        if text is None or not self.languages or not has_letter(text.decode("utf-8", "replace")):
-            return "und", 0.0
-        totals, _ = self._totals(text)
-        logs, chars = totals[:-1], totals[-1]
-        best = int(np.argmax(logs))
-        if self.typical is not None and logs[best] < chars * (self.typical[best] - FAR - SLACK / np.sqrt(max(chars, 1.0))):
-            return "und", 0.0
-        return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        said: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.languages:
+            return said
+        which = [i for i, x in enumerate(texts) if x is not None and has_letter(x.decode("utf-8", "replace"))]
+        totals, _ = self._totals([texts[i] for i in which])
+        for i, (*logs, chars) in zip(which, totals.tolist(), strict=True):
+            top = max(logs)
+            best = logs.index(top)
+            if self.typical is not None and top < chars * (self.typical[best] - FAR - SLACK / math.sqrt(max(chars, 1.0))):
+                continue
+            said[i] = self.languages[best], 1.0 / sum(math.exp(x - top) for x in logs)
+        return said
 
 
 def _predictor(spark: SparkSession, model: Model, keep: list[str], names: tuple[str, str]):
@@ -324,8 +439,8 @@ def _predictor(spark: SparkSession, model: Model, keep: list[str], names: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = resident(("scorer", key), lambda: Scorer(shared.value))
-        for batch in slices(batches):
-            said = [scorer.predict(x) for x in as_bytes(batch.column("text"))]
+        for batch in text_slices(batches):
+            said = scorer.predict_all(as_bytes(batch.column("text")))
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*keep, *names])
 
