@@ -40,7 +40,7 @@ def test_queries_agree_with_sql(spark, name):
         assert rows
         return
     con = duckdb.connect()
-    for table in ("events", "orders", "lineitem", "customer"):
+    for table in ("events", "orders", "lineitem", "customer", "nation", "supplier"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     expected = con.sql(engine.SQL[name])
     assert sorted(found.columns) == sorted(expected.columns)

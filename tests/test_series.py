@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel import series as S
-from tidewheel.errors import EngineError, LengthMismatch, SinkIntoSource, SourceError
+from tidewheel.errors import EngineError, LengthMismatch, OutOfBounds, Overflow, SinkIntoSource, SourceError
 from tidewheel.functions import dtypes as D
 from tidewheel.operators import tabular
 from tidewheel.tensor import Tensor
@@ -273,3 +273,102 @@ def test_tables_as_series(spark):
     assert values(tabular.filtered(by_key, lambda v: v < 3.0)) == [1.5, 0.0]
     assert tabular.join_on_value(count(3), count(5)).count() == 3
     assert {tuple(r) for r in tabular.group_sum(count(6, "i64", lambda i: i % 2), count(6, "i64")).collect()} == {(0, 6, 3), (1, 9, 3)}
+
+
+@pytest.mark.parametrize("made", ["generated", "table", "filtered"])
+def test_nothing_reaches_past_the_end(spark, made):
+    if made == "generated":
+        plan = count(3)
+    else:
+        df = spark.range(3).selectExpr("id", "cast(id AS double) AS v")
+        plan = S.from_dataframe(df, "v", idx="id")
+        plan = tabular.filtered(plan, lambda v: v >= 0) if made == "filtered" else plan
+    assert values(plan.slice(1, 2)) == [1.0, 2.0] and values(plan.slice(3, 0)) == []
+    for wrong in (plan.slice(1, 100), plan.slice(10, 1), plan.slice(4, 0), plan.slice(0, 3).slice(2, 2), plan.slice(10, 1) + plan.sum(), plan.set_at(99, 1.0), plan.set_at(3, 1.0).sum()):
+        with pytest.raises(OutOfBounds):
+            wrong.collect()
+    for wrong in (lambda: plan.slice(-1, 1), lambda: plan.set_at(-1, 1.0)):
+        with pytest.raises(IndexError):
+            wrong()
+    assert values(plan.set_at(2, 7.0)) == [0.0, 1.0, 7.0] and values(plan.slice(2, 1) + plan.sum()) == [5.0]
+
+
+def test_the_sink_guard_sees_every_source(spark, tmp_path):
+    path, other = str(tmp_path / "a.f64"), str(tmp_path / "b.f64")
+    count(3).sink_file(path)
+    count(3).sink_file(other)
+    link = str(tmp_path / "link.f64")
+    os.symlink(path, link)
+    scanned = S.scan_file(path)
+    plans = [
+        scanned.set_at(0, 9.0),
+        scanned.spill().map(lambda x: x * 2),
+        scanned.slice(0, 3).set_at(1, 1.0),
+        S.scan_file(other) + scanned.set_at(2, 5.0),
+        tabular.sort(scanned),
+        tabular.filtered(scanned, lambda v: v > 0),
+        S.from_dataframe(scanned.to_df(), "value", idx="idx", reads=[path]),
+    ]
+    for plan in plans:
+        for target in (path, link, f"file://{path}"):
+            with pytest.raises(SinkIntoSource):
+                plan.sink_file(target)
+    assert values(scanned) == [0.0, 1.0, 2.0]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_integers_overflow_loudly_in_any_mode(spark, ansi):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for kind in ("i8", "i32", "i64", "u32", "u64"):
+            info = D.dtype(kind)
+            top, one = S.from_elements([info.high, 0], kind), S.from_elements([1, 0], kind)
+            for plan in (top + one, top * S.from_elements([2, 0], kind), S.from_elements([info.low, 0], kind) - one, (top + one).sum(), S.from_elements([info.high, 1], kind).sum()):
+                with pytest.raises(EngineError):
+                    plan.collect()
+            assert values(top - one)[0] == info.high - 1 and values(top.wrapping_add(one))[0] == info.low
+        with pytest.raises(Overflow):
+            S.from_elements([300], "i64").map(lambda x: x, "u8").collect()
+        with pytest.raises(Overflow):
+            S.from_elements([-1], "i64").map(lambda x: x, "u32").collect()
+        assert values(S.from_elements([200], "i64").map(lambda x: x, "u8")) == [200]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_parallelism_bounds_the_tasks_of_a_source(spark):
+    plan = count(10_000).with_batch_bytes(64)
+    assert plan.to_df().rdd.getNumPartitions() > 2
+    assert plan.with_threads(2).to_df().rdd.getNumPartitions() == 2
+    ninths = plan.map(lambda x: x / 9.0)
+    assert ninths.sum().item() == ninths.with_threads(1).sum().item() == ninths.with_threads(3).sum().item()
+
+
+def test_columns_of_one_table_are_read_together(spark):
+    df = spark.range(100).selectExpr("id", "cast(id AS double) AS a", "id * 2 AS b", "id % 7 AS k")
+    dense = [S.from_dataframe(df, c, idx="id") for c in ("a", "b")]
+    both = dense[0].map(lambda x: x + 1).zip_with(dense[1], lambda x, y: x + y.cast("double"))
+    assert "Join" not in both.to_df()._jdf.queryExecution().toString() and values(both) == [3.0 * i + 1 for i in range(100)]
+    ordered = [S.from_dataframe(df, c, order_by=[F.col("k"), F.col("id")]) for c in ("a", "b")]
+    rows = sorted(range(100), key=lambda i: (i % 7, i))
+    assert values(ordered[0].zip_with(ordered[1], lambda x, y: x + y.cast("double"))) == [3.0 * i for i in rows]
+    other = S.from_dataframe(df, "a", order_by=[F.col("id")])
+    assert values(ordered[0] - other) == [float(i - j) for j, i in enumerate(rows)]
+    groups = tabular.group_sum(S.from_dataframe(df, "k", idx="id"), dense[1]).collect()
+    assert sorted((r["key"], r["total"], r["n"]) for r in groups) == [(k, sum(2 * i for i in range(100) if i % 7 == k), len(range(k, 100, 7))) for k in range(7)]
+
+
+def test_sinks_write_in_place_and_leave_nothing_behind(spark, tmp_path):
+    path = tmp_path / "deep" / "out.i32"
+    many = S.generate(10_000, lambda i: i, "i32", spark).with_batch_bytes(256)
+    many.sink_file(f"file://{path}")
+    assert np.array_equal(np.fromfile(path, "<i4"), np.arange(10_000)) and os.listdir(path.parent) == ["out.i32"]
+    with pytest.raises(EngineError):
+        many.map(lambda x: F.when(x == 9_999, F.raise_error(F.lit("no")).cast("int")).otherwise(x)).sink_file(str(path))
+    gap = S.from_dataframe(spark.range(10).where("id <> 4"), "id", idx="id")
+    with pytest.raises(EngineError):
+        gap.sink_file(str(path))
+    assert np.array_equal(np.fromfile(path, "<i4"), np.arange(10_000)) and os.listdir(path.parent) == ["out.i32"]
+    S.zeros(0, "i32", spark).sink_file(str(path))
+    assert os.path.getsize(path) == 0

@@ -11,6 +11,14 @@ class SourceError(EngineError):
     """A source could not be opened or is not a whole number of elements."""
 
 
+class OutOfBounds(EngineError, IndexError):
+    """A slice or a point update reaches past the end of its series."""
+
+
+class Overflow(EngineError, OverflowError):
+    """A value is out of range for its element type."""
+
+
 class LengthMismatch(EngineError):
     """Two series of different lengths were combined."""
 
@@ -40,6 +48,7 @@ class ReadOnly(ViewError):
 #: What the checks inside plans raise, and how terminals report it.
 MISMATCH_TEXT = "series of different lengths were combined"
 OVERFLOW_TEXT = "value out of range for its element type"
+BOUNDS_TEXT = "out of bounds of the series"
 
 
 def translated(error: Exception) -> Exception:
@@ -47,7 +56,7 @@ def translated(error: Exception) -> Exception:
     if isinstance(error, EngineError):
         return error
     text = str(error)
-    for kind, mark in ((LengthMismatch, MISMATCH_TEXT), (SourceError, "SourceError"), (SinkIntoSource, "SinkIntoSource")):
+    for kind, mark in ((LengthMismatch, MISMATCH_TEXT), (OutOfBounds, BOUNDS_TEXT), (Overflow, OVERFLOW_TEXT), (SourceError, "SourceError"), (SinkIntoSource, "SinkIntoSource")):
         if mark in text:
             return kind(text.splitlines()[0][:500])
     return EngineError(text[:2000])

@@ -83,10 +83,20 @@ def checked(value: Column, to: DType) -> Column:
     """value as an element of type ``to``; an integer out of range raises when it is read."""
     if to.is_float:
         return value.cast(to.spark)
+    if to.width <= 4 or to in (I64, ISIZE):  # stored in a machine integer, whose cast finds what is too large, whatever the session's ANSI mode
+        kept = value.try_cast(to.spark)
+        wrong = kept.isNull() & value.isNotNull()
+        if to.low == 0:
+            wrong = wrong | (kept < to.low) | (kept > to.high)
+        return F.when(wrong, _raised(to)).otherwise(kept)
     exact = value.cast(T.DecimalType(38, 0))
     low, high = max(to.low, -DECIMAL_MOST), min(to.high, DECIMAL_MOST)
     inside = exact.between(F.lit(str(low)).cast(T.DecimalType(38, 0)), F.lit(str(high)).cast(T.DecimalType(38, 0)))
-    return F.when(inside | value.isNull(), value).otherwise(F.raise_error(F.lit(f"{OVERFLOW_TEXT} {to.name}")).cast(T.DecimalType(38, 0))).cast(to.spark)
+    return F.when(inside | value.isNull(), value).otherwise(_raised(to).cast(T.DecimalType(38, 0))).cast(to.spark)
+
+
+def _raised(to: DType) -> Column:
+    return F.raise_error(F.lit(f"{OVERFLOW_TEXT} {to.name}")).cast(to.spark)
 
 
 def wrapped(value: Column, to: DType) -> Column:
@@ -108,28 +118,30 @@ def _product(a: Column, b: Column, kind: DType, wrap: bool) -> Column:
         return wrapped((F.pmod(cross, half).cast(big) * half).cast(big) + low, kind)
     fits = ((a1 * b1).cast(big) == 0) & (cross.cast(big) < half)
     exact = (cross.cast(big) * half).cast(big) + low
-    return F.when(fits, checked(exact, kind)).otherwise(F.raise_error(F.lit(f"{OVERFLOW_TEXT} {kind.name}")).cast(kind.spark))
+    return F.when(fits, checked(exact, kind)).otherwise(_raised(kind))
 
 
 def add(a: Column, b: Column, kind: DType, wrap: bool = False) -> Column:
-    return _arithmetic(a, b, kind, lambda x, y: x + y, wrap)
+    return _arithmetic(a, b, kind, lambda x, y: x + y, F.try_add, wrap)
 
 
 def sub(a: Column, b: Column, kind: DType, wrap: bool = False) -> Column:
-    return _arithmetic(a, b, kind, lambda x, y: x - y, wrap)
+    return _arithmetic(a, b, kind, lambda x, y: x - y, F.try_subtract, wrap)
 
 
 def mul(a: Column, b: Column, kind: DType, wrap: bool = False) -> Column:
     if kind in (U64, USIZE):
         return _product(a, b, kind, wrap)
-    return _arithmetic(a, b, kind, lambda x, y: x * y, wrap)
+    return _arithmetic(a, b, kind, lambda x, y: x * y, F.try_multiply, wrap)
 
 
-def _arithmetic(a: Column, b: Column, kind: DType, f, wrap: bool) -> Column:
+def _arithmetic(a: Column, b: Column, kind: DType, f, tried, wrap: bool) -> Column:
     if kind.is_float:
         return f(a.cast(kind.spark), b.cast(kind.spark)).cast(kind.spark)
-    if kind in (I32, I64, ISIZE) and not wrap:  # ANSI arithmetic raises by itself
-        return f(a.cast(kind.spark), b.cast(kind.spark))
+    if kind in (I32, I64, ISIZE) and not wrap:  # null where it overflows, in any ANSI mode
+        a, b = a.cast(kind.spark), b.cast(kind.spark)
+        exact = tried(a, b)
+        return F.when(exact.isNull() & a.isNotNull() & b.isNotNull(), _raised(kind)).otherwise(exact)
     exact = f(a.cast(kind.wide), b.cast(kind.wide))
     return wrapped(exact, kind) if wrap else checked(exact, kind)
 

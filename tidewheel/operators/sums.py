@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.errors import OVERFLOW_TEXT
 from tidewheel.functions.dtypes import DType, checked, wrapped
 from tidewheel.functions.kernels import pairwise_sum
 
@@ -22,7 +23,9 @@ from tidewheel.functions.kernels import pairwise_sum
 def exact(df: DataFrame, kind: DType, widen: bool = False, wrap: bool = False) -> DataFrame:
     """(idx 0, value): the sum of integers, checked against the type unless widened or wrapped."""
     wide = T.DecimalType(38, 0) if kind.width >= 8 else T.LongType()
-    total = F.coalesce(F.sum(F.col("value").cast(wide)), F.lit(0).cast(T.DecimalType(38, 0)))
+    some = F.try_sum(F.col("value").cast(wide))  # null where it overflows, in any ANSI mode
+    over = F.raise_error(F.lit(f"{OVERFLOW_TEXT} sum of {kind.name}")).cast(T.DecimalType(38, 0))
+    total = F.when(F.count("value") == 0, F.lit(0).cast(T.DecimalType(38, 0))).when(some.isNull(), over).otherwise(some.cast(T.DecimalType(38, 0)))
     if not widen:
         total = wrapped(total, kind) if wrap else checked(total, kind)
     return df.agg(total.alias("value")).select(F.lit(0).cast("long").alias("idx"), "value")

@@ -1,4 +1,4 @@
-"""The logical plan: sources, maps, zips, reductions, and slices.
+"""The logical plan: sources, maps, zips, reductions, slices, point updates and spills.
 
 A node says what to compute and carries no data. Plans are immutable and can be used again.
 """
@@ -6,13 +6,30 @@ A node says what to compute and carries no data. Plans are immutable and can be
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidewheel.functions.dtypes import DType
 
 
+@dataclass(frozen=True, eq=False)
+class TableColumn:
+    """A column of a table in an order: by keys, or at the positions in idx."""
+
+    df: DataFrame
+    keys: list[Column]
+    value: Column
+    dense: bool
+    descending: bool = False
+
+    def beside(self, other: TableColumn) -> bool:
+        """Whether both are columns of one table in one order."""
+        if (self.dense, self.descending, list(map(str, self.keys))) != (other.dense, other.descending, list(map(str, other.keys))):
+            return False
+        return self.df is other.df or self.df.sameSemantics(other.df)
+
+
 @dataclass(frozen=True, eq=False)
 class Source:
     label: str
@@ -22,7 +39,12 @@ class Source:
     batch_ordered: bool = False
     #: Of a raw file: its path, first element and element count (-1: all).
     raw: tuple[str, int, int] | None = None
-    single: bool = False
+    #: Elements, where that is known before the plan runs.
+    length: int | None = None
+    #: A column of a table: sources whose tables are the same are read together.
+    table: TableColumn | None = None
+    #: Files that the source reads besides raw, found when they are asked for.
+    reads: Callable[[], list[str]] = list
 
 
 @dataclass(frozen=True, eq=False)
@@ -54,14 +76,41 @@ class Slice:
     input: Node
     offset: int
     count: int
-    dtype: DType = field(default=None)  # type: ignore[assignment]
+    dtype: DType
 
     @property
     def label(self) -> str:
         return f"slice [{self.offset}, {self.offset + self.count})"
 
 
-Node = Source | Map | Zip | Reduce | Slice
+@dataclass(frozen=True, eq=False)
+class Update:
+    """The input with the element at one place replaced."""
+
+    input: Node
+    at: int
+    value: Column
+    dtype: DType
+
+    @property
+    def label(self) -> str:
+        return f"set_at {self.at} ({self.dtype.name})"
+
+
+@dataclass(frozen=True, eq=False)
+class Spill:
+    """The input, computed once and kept; held is empty until then."""
+
+    input: Node
+    dtype: DType
+    held: list[DataFrame]
+
+    @property
+    def label(self) -> str:
+        return f"spilled ({self.dtype.name})"
+
+
+Node = Source | Map | Zip | Reduce | Slice | Update | Spill
 
 
 def children(node: Node) -> list[Node]:
@@ -87,7 +136,7 @@ def rendered(node: Node) -> str:
 
 def source_paths(node: Node) -> list[str]:
     if isinstance(node, Source):
-        return [node.raw[0]] if node.raw else []
+        return ([node.raw[0]] if node.raw else []) + node.reads()
     return [p for kid in children(node) for p in source_paths(kid)]
 
 
@@ -107,12 +156,15 @@ def base_of(node: Node) -> Node:
     return node
 
 
-def is_single(node: Node) -> bool:
-    """Whether the node is known to have exactly one element."""
-    if isinstance(node, Reduce):
-        return True
+def length_of(node: Node) -> int | None:
+    """The node's number of elements, if it is known before the plan runs."""
     if isinstance(node, Source):
-        return node.single
+        return node.length
+    if isinstance(node, Reduce):
+        return 1
+    if isinstance(node, Slice):
+        return node.count
     if isinstance(node, Zip):
-        return is_single(node.left) and is_single(node.right)
-    return is_single(node.input) if isinstance(node, Map) else node.count == 1
+        left = length_of(node.left)
+        return length_of(node.right) if left is None else left
+    return length_of(node.input)

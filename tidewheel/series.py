@@ -1,13 +1,14 @@
 """Series: lazy plans over one-dimensional arrays, run by Spark.
 
-Nothing runs before a terminal: collect, item, sink_file, or an action on to_df(). Closures
-are functions from Column to Column, which Catalyst compiles; map_numpy and map_python take
+Nothing runs before a terminal: collect, item, sink_file, or an action on to_df() (but the
+positions of a table in some order are found by to_df() itself). Closures are functions from Column to Column, which Catalyst compiles; map_numpy and map_python take
 Python functions on arrays and on elements where that cannot be.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.errors import SinkIntoSource, translated
+from tidewheel.errors import BOUNDS_TEXT, OutOfBounds, SinkIntoSource, translated
 from tidewheel.functions import dtypes as D
 from tidewheel.operators import sums, zipper
 from tidewheel.plans import nodes as N
@@ -60,7 +61,7 @@ def generate(n: int, f: Callable[[Column], Column], dtype: str | D.DType = "f64"
         value = value.cast(kind.spark) if kind.is_float else D.checked(value, kind)
         return _positions(spark, n, max(1, batch_bytes // kind.width)).select("idx", value.alias("value"))
 
-    return Series(N.Source(f"generate {n} ({kind.name})", kind, make, True, single=n == 1), spark)
+    return Series(N.Source(f"generate {n} ({kind.name})", kind, make, True, length=n), spark)
 
 
 def generate_python(n: int, f: Callable[[int], object], dtype: str | D.DType = "f64", spark: SparkSession | None = None) -> Series:
@@ -77,21 +78,35 @@ def from_elements(values: Iterable, dtype: str | D.DType | None = None, spark: S
     return Tensor.from_elements(values, dtype).lazy(spark)
 
 
-def from_dataframe(df: DataFrame, value: str | Column, order_by: list[str | Column] | None = None, idx: str | Column | None = None, dtype: str | D.DType | None = None, descending: bool = False) -> Series:
-    """A column of a table, in the order of order_by (least first unless descending), or at the positions in idx (0, 1, 2 ... without gaps)."""
+def from_dataframe(
+    df: DataFrame,
+    value: str | Column,
+    order_by: list[str | Column] | None = None,
+    idx: str | Column | None = None,
+    dtype: str | D.DType | None = None,
+    descending: bool = False,
+    reads: Iterable[str] = (),
+) -> Series:
+    """A column of a table, in the order of order_by (least first unless descending), or at the positions in idx (0, 1, 2 ... without gaps).
+
+    Positions of order_by are found by a job that to_df() and the terminals start. reads names
+    files behind df, besides those that Spark knows of, which a sink must not replace.
+    """
     if (order_by is None) == (idx is None):
         raise ValueError("give order_by or idx")
     column = F.col(value) if isinstance(value, str) else value
     kind = D.dtype(dtype) if dtype is not None else D.of_spark(df.select(column.alias("v")).schema["v"].dataType)
+    keys = [F.col(k) if isinstance(k, str) else k for k in (order_by if idx is None else [idx])]
+    table = N.TableColumn(df, keys, column, idx is not None, descending)
     made: list[DataFrame] = []
 
     def make(spark: SparkSession, batch_bytes: int) -> DataFrame:
         if not made:
-            made.append(tables.dense_position(df, idx, column) if idx is not None else tables.with_position(df, order_by, column, descending))
+            made.append(tables.of_column(table))
         value = F.col("value").cast(kind.spark) if kind.is_float else D.checked(F.col("value"), kind)
         return made[0].select("idx", value.alias("value"))
 
-    return Series(N.Source(f"from_dataframe ({kind.name})", kind, make), df.sparkSession)
+    return Series(N.Source(f"from_dataframe ({kind.name})", kind, make, table=table, reads=lambda: [*reads, *df.inputFiles()]), df.sparkSession)
 
 
 def _python_udf(f: Callable, kind: D.DType):
@@ -129,7 +144,7 @@ class Series:
         return Series(self._node, self._spark, max(0, batch_bytes), self._parallelism)
 
     def with_parallelism(self, n: int) -> Series:
-        """A hint for how many tasks should run at once (1 at least); results do not depend on it."""
+        """At most n tasks (1 at least) read a source of the plan at once; results do not depend on it."""
         return Series(self._node, self._spark, self._batch_bytes, max(1, n))
 
     with_threads = with_parallelism
@@ -160,21 +175,20 @@ class Series:
         return self.map(lambda c: D.mul(c, F.lit(scalar).cast(kind.spark), kind, wrap))
 
     def set_at(self, k: int, value) -> Series:
-        """The series with element k replaced; the old one is as it was."""
+        """The series with element k replaced; the old one is as it was. Where there is no element k, the plan raises."""
         kind = self.dtype
-        spot = generate(1, lambda i: F.lit(value), kind, self._spark)._node  # checks the value's type
-
-        def make(spark: SparkSession, batch_bytes: int) -> DataFrame:
-            inner = lower(spark, self._node, batch_bytes)
-            new = F.lit(value).cast(kind.spark) if kind.is_float else D.checked(F.lit(value), kind)
-            return inner.select("idx", F.when(F.col("idx") == k, new).otherwise(F.col("value")).alias("value"))
-
-        return self._next(N.Source(f"set_at {k} ({spot.dtype.name})", kind, make, single=N.is_single(self._node)))
+        if k < 0:
+            raise OutOfBounds(f"place {k} is {BOUNDS_TEXT}")
+        new = F.lit(value).cast(kind.spark) if kind.is_float else D.checked(F.lit(value), kind)
+        return self._next(N.Update(self._node, k, new, kind))
 
     def slice(self, offset: int, count: int) -> Series:
-        """Elements offset .. offset + count - 1, counted from 0 again; of a raw file, a byte range."""
+        """Elements offset .. offset + count - 1, counted from 0 again; of a raw file, a byte range.
+
+        Where the series has not all of them, the plan raises OutOfBounds.
+        """
         if offset < 0 or count < 0:
-            raise IndexError("slice out of bounds")
+            raise OutOfBounds(f"a slice of {count} at {offset} is {BOUNDS_TEXT}")
         return self._next(N.Slice(self._node, offset, count, self.dtype))
 
     def reinterpret(self, dtype: str | D.DType) -> Series:
@@ -236,8 +250,8 @@ class Series:
     # terminals and inspection
 
     def to_df(self) -> DataFrame:
-        """(idx, value), lazily; rows come in no order."""
-        return lower(_session(self._spark), self._node, self.batch_bytes)
+        """(idx, value); rows come in no order. Only positions of an order_by are found at once."""
+        return lower(_session(self._spark), self._node, self.batch_bytes, self._parallelism)
 
     def collect(self) -> Tensor:
         """Runs the plan and holds the whole result in the driver's memory, in order."""
@@ -268,16 +282,7 @@ class Series:
 
     def spill(self) -> Series:
         """The series computed once and kept on the executors' disks."""
-        from pyspark import StorageLevel
-
-        held: list[DataFrame] = []
-
-        def make(spark: SparkSession, batch_bytes: int) -> DataFrame:
-            if not held:
-                held.append(self.to_df().persist(StorageLevel.DISK_ONLY))
-            return held[0]
-
-        return self._next(N.Source(f"spilled ({self.dtype.name})", self.dtype, make, single=N.is_single(self._node)))
+        return self._next(N.Spill(self._node, self.dtype, []))
 
     def sink_file(self, path: str) -> None:
         """Writes the elements, in order, to one raw binary file, which is replaced only when all are written."""
@@ -301,7 +306,8 @@ class Series:
 
 
 def _same_file(a: str, b: str) -> bool:
-    """Whether two paths are one file, also through links; URIs are compared as text."""
+    """Whether two paths are one file, also through links; URIs other than file: are compared as text."""
+    a, b = (re.sub("^file:/(//)?(?=[^/])", "/", p) for p in (a, b))
     if "://" in a or "://" in b:
         return a.rstrip("/") == b.rstrip("/")
     try:

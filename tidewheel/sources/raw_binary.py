@@ -2,15 +2,19 @@
 
 Reading: a partition is a byte range of whole batches; nothing is opened before the plan runs,
 and then every file's size is checked before any batch flows. Several files of one length can
-be read side by side, one column each. Writing: each task writes the elements of its range to
-a part file next to the target; the commit puts the parts together in order of position and
-renames the result, so a failed job leaves the old file as it was. Paths are local paths or
-URIs of pyarrow's file systems that driver and executors share.
+be read side by side, one column each. Writing to a file system with files that can be written
+in place (local and file: paths): each task writes its elements at their own offsets in a new
+file next to the target, which the commit renames; nothing goes through the driver. On other
+file systems each task writes a part and the commit puts the parts together in order, through
+the driver. A failed job leaves the old file as it was. Paths are local paths or URIs of
+pyarrow's file systems that driver and executors share.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +24,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tidewheel.errors import SizeMismatch
+from tidewheel.errors import BOUNDS_TEXT, MISMATCH_TEXT, SizeMismatch
 from tidewheel.functions.dtypes import DType, dtype
 
 FORMAT = "tidewheel_raw"
@@ -93,13 +97,11 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         sizes = {elements(p, k.width) for p, k in zip(self.paths, self.kinds, strict=True)}
         if len(sizes) > 1:
-            from tidewheel.errors import MISMATCH_TEXT
-
             raise ValueError(MISMATCH_TEXT)
         n = sizes.pop() - self.offset
         if self.most >= 0:
             if self.most > n:
-                raise ValueError(f"SourceError: slice of {self.most} elements at {self.offset} is out of bounds")
+                raise ValueError(f"a slice of {self.most} at {self.offset} is {BOUNDS_TEXT}")
             n = self.most
         batch = self._batch()
         step = max(1, PARTITION_BYTES // (batch * self.kinds[0].width)) * batch
@@ -136,35 +138,56 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.kind = options["path"], dtype(options["dtype"])
         self.job = uuid.uuid4().hex
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+    def _opened(self):
+        """The file system, the target in it, and whether its files can be written in place."""
+        from pyarrow import fs
+
         files, where = opened(self.path)
+        files.create_dir(where.rpartition("/")[0] or ".", recursive=True)
+        return files, where, isinstance(files, fs.LocalFileSystem)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        files, where, in_place = self._opened()
         part = f"{where}.part-{self.job}-{uuid.uuid4().hex}"
         first, count = -1, 0
-        with files.open_output_stream(part) as out:
+        with contextlib.ExitStack() as held:
+            out = None
             for batch in batches:
-                if batch.num_rows:
-                    if first < 0:
-                        first = batch.column(0)[0].as_py()
-                    out.write(to_bytes(batch.column(1), self.kind))
-                    count += batch.num_rows
+                if not batch.num_rows:
+                    continue
+                idx, raw = batch.column(0).to_numpy(), to_bytes(batch.column(1), self.kind)
+                if out is None:
+                    first = int(idx[0])
+                    if in_place:
+                        out = held.enter_context(os.fdopen(os.open(f"{where}.whole-{self.job}", os.O_RDWR | os.O_CREAT, 0o644), "r+b"))
+                        out.seek(first * self.kind.width)
+                    else:
+                        out = held.enter_context(files.open_output_stream(part))
+                if idx[0] != first + count or (np.diff(idx) != 1).any():
+                    raise ValueError("positions of a series have no gaps")
+                out.write(raw)
+                count += batch.num_rows
         return _Part(part, first, count)
 
     def commit(self, messages: list[WriterCommitMessage]) -> None:
-        files, where = opened(self.path)
+        files, where, in_place = self._opened()
         whole = f"{where}.whole-{self.job}"
-        parts = sorted((m for m in messages if m is not None), key=lambda m: m.first)
-        with files.open_output_stream(whole) as out:
-            for m in parts:
-                with files.open_input_stream(m.path) as part:
-                    while chunk := part.read(BATCH_BYTES):
-                        out.write(chunk)
+        parts = sorted((m for m in messages if m is not None and m.count), key=lambda m: m.first)
+        if [m.first for m in parts] != np.cumsum([0, *(m.count for m in parts)])[: len(parts)].tolist():
+            raise ValueError("positions of a series have no gaps")
+        if not in_place or not parts:
+            with files.open_output_stream(whole) as out:
+                for m in parts:
+                    with files.open_input_stream(m.path) as part:
+                        while chunk := part.read(BATCH_BYTES):
+                            out.write(chunk)
         files.move(whole, where)
-        self._drop(messages)
+        self._drop()
 
     def abort(self, messages: list[WriterCommitMessage]) -> None:
-        self._drop(messages)
+        self._drop()
 
-    def _drop(self, messages: list[WriterCommitMessage]) -> None:
+    def _drop(self) -> None:
         from pyarrow import fs
 
         files, where = opened(self.path)
