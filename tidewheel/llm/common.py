@@ -70,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and, but for a longer single text, ``size`` bytes in the column text."""
     for batch in slices(batches, rows):
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -24,7 +24,7 @@ from tidewheel.llm.common import resident
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words, and runs of letters, whose ids a Python worker keeps: some 200 bytes each.
-CACHE_WORDS, CACHE_RUNS = 500_000, 700_000
+CACHE_WORDS, CACHE_RUNS = 300_000, 450_000
 #: Runs of letters that are encoded as one text.
 _RUNS = 4096
 #: Marks that never join the letters before them: ASCII punctuation but the apostrophe of contractions.
