@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.sources.shared import fresh_path, shared_dir, stored
+from tidewheel.sources.shared import delete, fresh_path, shared_dir, stored
 
-__all__ = ["as_bytes", "discard", "fresh_path", "mixed", "packed", "packed_texts", "powers", "release", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "quoted", "text_slices", "unpacked", "unused"]
+__all__ = ["as_bytes", "discard", "fresh_path", "mixed", "packed", "packed_texts", "powers", "resident", "same", "sha256_utf8", "shared_dir", "signed", "slices", "small_table", "stored", "quoted", "text_slices", "unpacked", "unused"]
 
 T = TypeVar("T")
 
@@ -33,13 +33,9 @@ def discard(df: DataFrame | None) -> None:
     """Deletes a stored() table that nothing reads any more."""
     if df is None:
         return
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if f"/tidewheel/{df.sparkSession.sparkContext.applicationId}/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            delete(df.sparkSession, parent)
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -112,12 +108,6 @@ def packed_texts(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, body binary")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 _RESIDENT: dict[tuple, object] = {}
 
 

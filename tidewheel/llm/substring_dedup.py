@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import as_bytes, discard, mixed, packed_texts, powers, release, slices, stored, unpacked
+from tidewheel.llm.common import as_bytes, discard, mixed, packed_texts, powers, slices, stored, unpacked
 
 WINDOW = 50
 GRAM = 16
@@ -173,8 +173,6 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     twice = stored(found.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark"), "twice")
     runs = stored(found.join(twice, "mark"), "repeated-marks")
     discard(found)
-    del found
-    release(docs.sparkSession)
     key = ["mark", "run", "n"]
     owners = stored(runs.groupBy(*key).agg(F.min("doc_id").alias("owner")), "owners")
     placed = runs.join(owners, key)
@@ -191,8 +189,6 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     merged = stored(places.mapInArrow(_intervals(window), "doc_id long, tag long, first long, words long"), "intervals")
     for old in (twice, runs, owners, several, open_runs, asked, windows, least):
         discard(old)
-    del placed, whole, single, places, windows
-    release(docs.sparkSession)
     return merged
 
 
