@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,3 +155,29 @@ def test_many_buckets_are_numbered_without_gaps(spark, make, monkeypatch):
     total, aim = brute_targets(rows)
     taken = {r["source_size"]: r["n"] for r in plan.taken().groupBy("source_size").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
     assert all(abs(taken[n] - aim[s]) <= max(4 * mixing.BLOCK, 0.03 * aim[s]) for s, n in total.items())
+
+
+#: What op 6 fixes without a draw: sizes, and targets by sharing the excess of full sources again.
+PLAN = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, n, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w FROM (SELECT source, sum(size) AS n FROM sized GROUP BY source)),
+levels AS (
+  SELECT 0 AS r, (SELECT 1.5 * sum(n) FROM sources) / (SELECT sum(w) FROM sources WHERE n > 0) AS level
+  UNION ALL
+  SELECT r + 1, (SELECT 1.5 * sum(n) - coalesce(sum(2 * n) FILTER (level * w > 2 * n), 0) FROM sources) / (SELECT sum(w) FILTER (n > 0 AND level * w <= 2 * n) FROM sources)
+  FROM levels WHERE r < 40 AND level IS NOT NULL),
+last AS (SELECT level FROM levels ORDER BY r DESC LIMIT 1)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(CASE WHEN n = 0 THEN 0 ELSE least(2 * n, (SELECT level FROM last) * w) END, 3) AS target
+FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source
+"""
+
+
+def test_what_needs_no_draw_agrees_with_sql(spark, make, table):
+    rows = corpus()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [(*r, *[None] * (5 - len(r))) for r in rows])
+    found = queries.op6_mixing(spark, table(documents=make(rows))).collect()
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], round(r["target"], 3)) for r in found), key=str) == sorted(con.sql(PLAN).fetchall(), key=str)

@@ -3,6 +3,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -78,6 +79,22 @@ def test_op4_reads_back_what_the_library_says(spark, make, table):
     assert sorted((tuple(r) for r in found), key=lambda r: r[1]) == expected
 
 
+def test_shards_are_read_a_few_documents_at_a_time(spark, make, monkeypatch):
+    rows = corpus() + [(None, f"none {i}") for i in range(5)]
+    path = token_files.write_tokens(make(rows), token_files.new_path(spark))
+    whole = token_files.read_tokens(spark, path).collect()
+    monkeypatch.setattr(token_files.EliasFano, "values", None)  # no table of all bounds
+    for docs, ids in ((1, 1 << 20), (3, 1 << 20), (1024, 16)):
+        read = token_files._read_shards(path, docs, ids)
+        manifest = spark.read.parquet(f"{path}/manifest").orderBy("shard").collect()
+        found, base = [], 0
+        for r in manifest:
+            batch = pa.RecordBatch.from_pylist([{"shard": r["shard"], "base": base, "width": r["width"]}])
+            found += [tuple(x.values()) for part in read([batch]) for x in part.to_pylist()]
+            base += r["ids"]
+        assert sorted(found, key=str) == sorted(((r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in whole), key=str)
+
+
 def test_shards_find_documents_by_number(spark, make):
     path = token_files.write_tokens(make([(3, "three"), (1, "one one"), (None, "none")]), token_files.new_path(spark))
     manifest = spark.read.parquet(f"{path}/manifest").orderBy("shard").collect()
@@ -102,6 +119,8 @@ def test_elias_fano_round_trip_and_select(first, steps):
     assert (coded.values() == values).all()
     for i in range(0, len(values), 37):
         assert coded.select(i) == values[i]
+        for j in (i, i + 1, min(len(values), i + 300), len(values)):
+            assert (coded.select_range(i, j) == values[i:j]).all()
     with pytest.raises(IndexError):
         coded.select(len(values))
 

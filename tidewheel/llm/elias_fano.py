@@ -1,8 +1,8 @@
 """Elias-Fano coding of a non-decreasing sequence, with select.
 
 n values below u take about n (2 + log2(u / n)) bits: the low bits of each value in a packed
-array, the high bits in unary. ``select`` finds any value from 32-bit samples of the unary
-part (one in every 256 values), so no table of 64-bit offsets is kept.
+array, the high bits in unary. ``select`` and ``select_range`` find any values from 32-bit samples
+of the unary part (one in every 256 values), so no table of 64-bit offsets is kept.
 
 Layout, little-endian: magic ``EF01``, low-bit width (uint8), 3 zero bytes, n (uint64), first
 value (int64), bytes of the low, high and sample parts (3 uint64), then the parts.
@@ -80,11 +80,24 @@ class EliasFano:
         place = (byte << 3) + (word & -word).bit_length() - 1
         return self.first + ((place - i) << self.width | self._low(i))
 
+    def select_range(self, begin: int, end: int) -> np.ndarray:
+        """Values begin .. end - 1, from the sample before them and the parts that hold them; nothing else is decoded."""
+        if not 0 <= begin <= end <= self.n:
+            raise IndexError((begin, end))
+        if begin == end:
+            return np.zeros(0, dtype=np.int64)
+        place, after = int(self.samples[begin // SAMPLE]), -(-end // SAMPLE)
+        stop = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[place >> 3 : stop], bitorder="little")) + (place >> 3 << 3)
+        skipped = int(np.searchsorted(places, place)) + begin % SAMPLE
+        places = places[skipped : skipped + end - begin]
+        low = 0
+        if self.width:
+            first = begin * self.width
+            bits = np.unpackbits(self.low[first >> 3 : (end * self.width + 7) >> 3], bitorder="little")[first & 7 :][: (end - begin) * self.width]
+            low = (bits.reshape(-1, self.width).astype(np.int64) << np.arange(self.width, dtype=np.int64)).sum(axis=1)
+        return self.first + ((places - np.arange(begin, end)) << self.width | low)
+
     def values(self) -> np.ndarray:
         """All values at once."""
-        if not self.n:
-            return np.zeros(0, dtype=np.int64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.width).reshape(self.n, self.width)
-        low = (bits.astype(np.int64) << np.arange(self.width, dtype=np.int64)).sum(axis=1) if self.width else 0
-        return self.first + ((places - np.arange(self.n)) << self.width | low)
+        return self.select_range(0, self.n)

@@ -32,8 +32,8 @@ from tidewheel.llm.elias_fano import EliasFano, encode
 from tidewheel.llm.tokens import encoder
 
 END_ID = 0
-#: Ids of a batch of rows that the reader hands on.
-_READ_IDS = 1 << 20
+#: Ids and documents of a batch of rows that the reader hands on.
+_READ_IDS, _READ_DOCS = 1 << 20, 1024
 
 
 def default_tokenizer() -> str:
@@ -109,6 +109,10 @@ class Shard:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.without else self.known.select(i - self.without)
 
+    def doc_ids(self, begin: int, end: int) -> list[int | None]:
+        known = max(begin, self.without)
+        return [None] * (min(end, self.without) - begin) + self.known.select_range(known - self.without, max(known, end) - self.without).tolist()
+
     def ids(self, i: int) -> np.ndarray:
         begin, end = self.starts.select(i), self.starts.select(i + 1)
         size = np.dtype(self.kind).itemsize
@@ -117,23 +121,23 @@ class Shard:
             return np.frombuffer(f.read((end - begin) * size), self.kind).astype("<u4")
 
 
-def _read_shards(path: str):
+def _read_shards(path: str, most_docs: int = _READ_DOCS, most_ids: int = _READ_IDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, base, width in zip(*(batch.column(c).to_pylist() for c in ("shard", "base", "width")), strict=True):
                 one = Shard(path, shard, width)
-                starts = one.starts.values()
-                docs = [None] * one.without + one.known.values().tolist()
                 with one.files.open_input_stream(f"{one.name}.ids") as f:
                     at = 0
-                    while at < len(docs):
-                        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _READ_IDS, "right")) - 1)
-                        raw = f.read(int(starts[to] - starts[at]) * width)
-                        ids = np.frombuffer(raw, one.kind).astype("<u4").tobytes()
-                        cut = (starts[at : to + 1] - starts[at]) * 4
+                    while at < len(one):  # bounds of a batch of documents at a time, by select
+                        starts = one.starts.select_range(at, min(at + most_docs, len(one)) + 1)
+                        n = max(1, int(np.searchsorted(starts, starts[0] + most_ids, "right")) - 1)
+                        starts = starts[: n + 1]
+                        ids = np.frombuffer(f.read(int(starts[-1] - starts[0]) * width), one.kind).astype("<u4").tobytes()
+                        cut = (starts - starts[0]) * 4
                         blobs = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[at:to], pa.int64()), pa.array(starts[at:to] + base), pa.array(np.diff(starts[at : to + 1])), pa.array(blobs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
-                        at = to
+                        columns = [pa.array(one.doc_ids(at, at + n), pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(blobs, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
+                        at += n
 
     return run
 
@@ -147,7 +151,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     based = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return based.select("shard", "base", "width").repartition(parts, "shard").mapInArrow(_read_shards(path), "doc_id long, start long, n_tokens long, ids binary")
+    return based.select("shard", "base", "width").repartitionByRange(parts, "shard").mapInArrow(_read_shards(path), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_path(spark: SparkSession) -> str:
