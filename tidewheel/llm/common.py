@@ -99,13 +99,14 @@ def unpacked(body: bytes | None) -> bytes | None:
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
-    """(doc_id, body) of rows of (doc_id, text)."""
+    """(doc_id, tag, body) of rows of (doc_id, tag, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packed(x) for x in as_bytes(batch.column("text"))], pa.binary())], names=["doc_id", "body"])
+            bodies = pa.array([packed(x) for x in as_bytes(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), bodies], names=["doc_id", "tag", "body"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, body binary")
+    return rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, body binary")
 
 
 _RESIDENT: dict[tuple, object] = {}

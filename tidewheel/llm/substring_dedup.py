@@ -88,6 +88,15 @@ def _tag(text: bytes) -> int:
     return (_digest(text, 42) & 0x7FFFFFFF) << 32
 
 
+def _text_tag():
+    """_tag() above the place, in Spark."""
+    return F.xxhash64("text").bitwiseAND(0x7FFFFFFF).alias("tag")
+
+
+def _place_tag():
+    return F.shiftright("at", 32).alias("tag")
+
+
 def _runs(window: int, gram: int):
     """(mark, run, n, doc_id, at) of all runs: run hashes the words that n windows from at on cover."""
 
@@ -180,12 +189,13 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
     several = stored(owners.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"), "several")
     open_runs = stored(placed.where("doc_id = owner").select("mark", "doc_id", "at", "n").join(several, "mark"), "open-runs")
-    asked = stored(open_runs.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "asked")
-    windows = stored(packed_texts(rows).hint("merge").join(asked, "doc_id").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, at long"), "windows")
+    asked = stored(open_runs.groupBy("doc_id", _place_tag()).agg(F.collect_set(F.struct("at", "n")).alias("runs")), "asked")
+    texts = packed_texts(rows.select("doc_id", _text_tag(), "text"))
+    windows = stored(texts.hint("merge").join(asked, ["doc_id", "tag"]).mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, at long"), "windows")
     least = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner"), "least")
     single = windows.join(least, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "at", F.lit(1).alias("n"))
 
-    places = whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    places = whole.union(single).groupBy("doc_id", _place_tag()).agg(F.collect_set(F.struct("at", "n")).alias("places"))
     merged = stored(places.mapInArrow(_intervals(window), "doc_id long, tag long, first long, words long"), "intervals")
     for old in (twice, runs, owners, several, open_runs, asked, windows, least):
         discard(old)
@@ -216,7 +226,7 @@ def _without(names: list[str]):
 
 def without(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: kept is the words that stay, joined by one space."""
-    cuts = intervals.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("tag", "first", "words")).alias("cuts"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = packed_texts(rows).hint("merge").join(cuts, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "body", "cuts")
+    cuts = intervals.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("tag", "first", "words")).alias("cuts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_tag(), "text")
+    joined = packed_texts(rows).hint("merge").join(cuts, ["doc_id", "tag"], "left").select("doc_id", "body", "cuts")
     return joined.mapInArrow(_without(["doc_id"]), "doc_id long, n_words long, n_removed long, kept string")
