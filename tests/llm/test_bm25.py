@@ -48,6 +48,7 @@ def test_op7_equals_brute_force(spark, make, table, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_DOCS", 8)
     monkeypatch.setattr(bm25, "SAMPLE_OF", 4)
     assert bm25._rounds(len(rows)) == 3
+    monkeypatch.setattr(bm25, "BATCH_TERMS", 500)
     assert {tuple(r) for r in queries.op7_top_k_search(spark, folder).collect()} == expected
     found = bm25.search(make(rows), make([r for r in rows if r[0] is not None and r[0] % 50 == 0]).withColumnRenamed("doc_id", "query_id"), 3)
     assert {tuple(r) for r in found.drop("tag").collect()} == {r for r in expected if r[1] <= 3}

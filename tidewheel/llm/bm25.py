@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import as_bytes, fresh_path, mixed, powers, same, signed, slices, stored
+from tidewheel.llm.common import as_bytes, fresh_path, mixed, powers, same, signed, stored, text_slices
 
 K1, B = 1.2, 0.75
 #: Documents, and bytes of text, of a shard's index; documents of a block; queries of a batch.
 SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, BATCH = 2048, 1 << 23, 64, 256
+#: Terms of a batch's queries, but for a longer single query.
+BATCH_TERMS = 1 << 18
 #: Terms in more than this share of a shard's documents are frequent: the matrix has their columns, at most so many.
 FREQUENT, MOST_FREQUENT = 1 / 20, 1024
 #: Relative error of a single-precision sum of up to MOST_FREQUENT and as many rare terms as a text has, with room.
@@ -109,7 +111,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         key, n = _tallied(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts]))
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(key)]), pa.array(np.r_[docs, n]), pa.array(np.r_[words, np.zeros_like(n)])], names=["term", "n", "words"])
 
-    for batch in slices(batches):
+    for batch in text_slices(batches):
         hashes, lengths = hashed_terms(as_bytes(batch.column("text")))
         docs, words = docs + len(lengths), words + len(hashes)
         own, at = np.unique(hashes, return_inverse=True)
@@ -125,7 +127,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in text_slices(batches):
         texts = as_bytes(batch.column("text"))
         hashes, lengths = hashed_terms(texts)
         own, at = np.unique(hashes, return_inverse=True)
@@ -281,21 +283,26 @@ _BATCH = "ids array<long>, tags array<long>, terms binary, ends binary, at binar
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each BATCH queries of (query_id, tag, terms, weights, threshold)."""
+    """A row for each batch of (query_id, tag, terms, weights, threshold): BATCH queries and, but for a longer single one, BATCH_TERMS terms."""
     for whole in batches:
-        for batch in slices([whole], BATCH):
-            terms = batch.column("terms")
-            own, at = np.unique(terms.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        ends = np.cumsum(pc.list_value_length(whole.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + BATCH, max(at + 1, int(np.searchsorted(ends, before + BATCH_TERMS, "right"))))
+            batch = whole.slice(at, to - at)
+            own, numbers = np.unique(batch.column("terms").flatten().to_numpy(zero_copy_only=False), return_inverse=True)
             columns = [
                 pa.array([batch.column("query_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([batch.column("tag").to_pylist()], pa.list_(pa.int64())),
                 pa.array([own.astype("<i8").tobytes()], pa.binary()),
-                pa.array([np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)).astype("<i4").tobytes()], pa.binary()),
-                pa.array([at.astype("<i4").tobytes()], pa.binary()),
+                pa.array([(ends[at:to] - before).astype("<i4").tobytes()], pa.binary()),
+                pa.array([numbers.astype("<i4").tobytes()], pa.binary()),
                 pa.array([batch.column("weights").flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary()),
                 pa.array([batch.column("threshold").to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["ids", "tags", "terms", "ends", "at", "weight", "threshold"])
+            at = to
 
 
 def _query_batches(path: str) -> Iterator[Queries]:
@@ -329,7 +336,7 @@ def _search(path: str, mean: float, k: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "tag", "doc_id", "score"])
 
         shard = Shard()
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             shard.add(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")))
             if len(shard.ids) >= SHARD_DOCS or shard.size >= SHARD_BYTES:
                 yield from found(shard)
