@@ -259,9 +259,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     lined = placed.withColumn("local", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     first = F.greatest(F.col("start"), F.col("local") * block)
     after = F.least(F.col("start") + F.col("size"), (F.col("local") + 1) * block)
-    pieces = lined.select("sid", (F.col("base") + F.col("local")).alias("block"), "bucket", "doc_id", "text_key", "source", "size", "source_size", "target", "start", (first - F.col("start")).alias("first"), (after - first).alias("words"))
+    own = ["bucket", "doc_id", "text_key", "source", "size", "source_size", "target", "start"]
+    pieces = lined.select("sid", (F.col("base") + F.col("local")).alias("block"), *own, (first - F.col("start")).alias("first"), (after - first).alias("words"))
     shards = -(-sum(draws) // shard_slots)
-    slots = spark.range(0, shards, 1, max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(_slots(draws, blocks, shard_slots, seed), "sid long, block long, epoch long, shard long, slot long")
+    parts = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    slots = spark.range(0, shards, 1, parts).mapInArrow(_slots(draws, blocks, shard_slots, seed), "sid long, block long, epoch long, shard long, slot long")
     return Mixture(pieces, slots, dealt.where("size = 0"), [(s, n, aim[i], blocks[i], draws[i]) for i, (s, n) in enumerate(sources)])
 
 

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import discard, stored
@@ -92,7 +92,8 @@ def fit(sample: np.ndarray, lists: int, cells: int = 1, seed: int = 10) -> Quant
     rest = sample - centroids[_nearest(sample, centroids)]
     size = sample.shape[1]
     bounds = np.linspace(0, size, min(PARTS, size) + 1).astype(int).tolist()
-    parts = [(a, b, _kmeans(rest[:, a:b], min(WORDS, len(rest)), 6, seed + a + 1)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    spans = zip(bounds[:-1], bounds[1:], strict=True)
+    parts = [(a, b, _kmeans(rest[:, a:b], min(WORDS, len(rest)), 6, seed + a + 1)) for a, b in spans]
     spread = rest.T @ rest
     trace = np.trace(spread)
     spread = spread / trace if trace > 0 else np.eye(size)  # without residuals, nothing is known: the whole radius
@@ -266,20 +267,28 @@ def _search(shared, threshold: float):
     return run
 
 
-_USABLE = "label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
+_USABLE = """
+    label IS NOT NULL AND embedding IS NOT NULL
+    AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))
+    AND exists(embedding, x -> x <> 0)"""
 _KEY = ["label", "h1", "h2"]
 
 
+def _hashes() -> list[Column]:
+    return [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2")]
+
+
 def _keyed(vectors: DataFrame) -> DataFrame:
     """Usable vectors with the hashes that equal ones share."""
-    return vectors.where(_USABLE).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")})
+    return vectors.where(_USABLE).select("*", *_hashes())
 
 
 def _fitted(rows: DataFrame, count: int, labels: int, lists: int | None) -> Quantiser:
     """Fits on the classes in a share of the hashes; copies are dropped before they reach the driver."""
     wanted = lists or max(1, math.isqrt(count))
     share = math.ceil(min(1.0, max(SAMPLE, PER_LIST * wanted) / count) * 1_000_003)
-    sample = rows.where(F.pmod("h1", F.lit(1_000_003)) < share).dropDuplicates(["h1", "h2"]).select("embedding").toArrow().column(0).combine_chunks()
+    chosen = rows.where(F.pmod("h1", F.lit(1_000_003)) < share).dropDuplicates(["h1", "h2"])
+    sample = chosen.select("embedding").toArrow().column(0).combine_chunks()
     if not len(sample):
         sample = rows.limit(1).select("embedding").toArrow().column(0).combine_chunks()
     x = unit(_matrix(sample))
@@ -290,18 +299,23 @@ def _found(classes: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
     """(kind, a, b) of classes with equally many components."""
     shared = classes.sparkSession.sparkContext.broadcast(model)  # as many centroids as the root of the classes
     kind = classes.schema["x"].dataType.simpleString()
-    schema = f"cid long, label string, x {kind}, m long, home int, cell int, others array<int>, probes array<int>, codes binary, error double"
+    schema = f"cid long, label string, x {kind}, m long, home int, cell int, others array<int>, probes array<int>"
+    schema += ", codes binary, error double"
     placed = stored(classes.select("cid", "label", "x", "m").mapInArrow(_assign(shared, threshold), schema), "placed")
     own = placed.groupBy("label", "cell").agg(F.count("*").alias("n"))
     away = placed.select("label", F.explode("others").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("asking"))
-    pieces = own.join(away, ["label", "cell"], "left").select("label", "cell", F.ceil(F.col("n") / MEMBERS).alias("ci"), F.ceil((F.col("n") + F.coalesce("asking", F.lit(0))) / QUERIES).alias("cj"))
+    asking = F.col("n") + F.coalesce("asking", F.lit(0))
+    pieces = own.join(away, ["label", "cell"], "left")
+    pieces = pieces.select("label", "cell", F.ceil(F.col("n") / MEMBERS).alias("ci"), F.ceil(asking / QUERIES).alias("cj"))
     pieces = stored(pieces.withColumn("whole", (F.col("ci") == 1) & (F.col("cj") == 1)), "pieces")
     key, body = ["label", "cell", "i", "j", "whole"], ["cid", "x", "m", "home", "codes", "error", "probes"]
+    i, j = (F.pmod(F.xxhash64("cid"), F.col(c)) for c in ("ci", "cj"))
+    every_i, every_j = (F.explode(F.expr(f"sequence(0L, {c} - 1)")) for c in ("ci", "cj"))
     members = placed.join(pieces, ["label", "cell"])
-    members = members.select("label", "cell", F.pmod(F.xxhash64("cid"), F.col("ci")).alias("i"), F.explode(F.expr("sequence(0L, cj - 1)")).alias("j"), "whole", F.lit(0).alias("role"), *body)
+    members = members.select("label", "cell", i.alias("i"), every_j.alias("j"), "whole", F.lit(0).alias("role"), *body)
     asked = placed.select("label", F.explode(F.concat("others", F.array("cell"))).alias("to"), "cell", *body)
     asked = asked.join(pieces.withColumnRenamed("cell", "to"), ["label", "to"]).where("to <> cell OR NOT whole")
-    queries = asked.select("label", F.col("to").alias("cell"), F.explode(F.expr("sequence(0L, ci - 1)")).alias("i"), F.pmod(F.xxhash64("cid"), F.col("cj")).alias("j"), "whole", F.lit(1).alias("role"), *body)
+    queries = asked.select("label", F.col("to").alias("cell"), every_i.alias("i"), j.alias("j"), "whole", F.lit(1).alias("role"), *body)
     met_by = members.union(queries).repartition(*key).sortWithinPartitions(*key, "role")
     return met_by.mapInArrow(_search(shared, threshold), "kind long, a long, b long")
 
@@ -318,9 +332,11 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = N
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     keyed = _keyed(rows)
     sized = keyed.select(F.size("embedding").alias("n"), *_KEY)
-    spread = sized.distinct().groupBy("n").agg(F.count("*").alias("count"), F.count_distinct("label").alias("labels")).collect()  # one row for each number of components
+    # one row for each number of components
+    spread = sized.distinct().groupBy("n").agg(F.count("*").alias("count"), F.count_distinct("label").alias("labels")).collect()
     grouped = keyed.groupBy(*_KEY).agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("embedding").alias("x"))
-    classes = stored(grouped.select(F.monotonically_increasing_id().alias("cid"), *_KEY, "x", F.size("x").alias("n"), "least", "m"), "classes")
+    numbered = grouped.select(F.monotonically_increasing_id().alias("cid"), *_KEY, "x", F.size("x").alias("n"), "least", "m")
+    classes = stored(numbered, "classes")
     found = None
     for r in spread:
         model = _fitted(keyed.where(F.size("embedding") == r["n"]), r["count"], r["labels"], lists)
@@ -333,12 +349,16 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = N
     owner = components(found.where("kind = 1").select("a", "b"))
     least = classes.select("cid", "least")
     named = stored(owner.join(least, owner["node"] == least["cid"]).groupBy("component").agg(F.min("least").alias("first")), "named")
-    firsts = stored(owner.withColumnRenamed("component", "_component").join(named, F.col("_component") == F.col("component")).select(F.col("node").alias("cid"), "first"), "firsts")
+    owned = owner.withColumnRenamed("component", "_component").join(named, F.col("_component") == F.col("component"))
+    firsts = stored(owned.select(F.col("node").alias("cid"), "first"), "firsts")
     links = (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links")
-    whole = classes.join(counts, "cid", "left").join(firsts, "cid", "left").select(*(F.col(c).alias(f"_{c}") for c in _KEY), links, F.least("first", "least").alias("component_id"))
+    whole = classes.join(counts, "cid", "left").join(firsts, "cid", "left")
+    whole = whole.select(*(F.col(c).alias(f"_{c}") for c in _KEY), links, F.least("first", "least").alias("component_id"))
     whole = stored(whole, "whole")
     for old in (classes, found, named, firsts):
         discard(old)
-    keys = rows.select("vec_id", *(F.when(F.expr(_USABLE), column).alias(name) for name, column in zip(_KEY, (F.col("label"), F.xxhash64("embedding"), F.xxhash64(F.lit(7), "embedding")), strict=True)))
+    hashed = rows.select("vec_id", "label", *_hashes(), F.expr(_USABLE).alias("usable"))
+    keys = hashed.select("vec_id", *(F.expr(f"if(usable, {c}, null)").alias(c) for c in _KEY))
     joined = keys.join(whole, [F.col(c) == F.col(f"_{c}") for c in _KEY], "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("_h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
