@@ -32,6 +32,8 @@ from tidewheel.llm.elias_fano import EliasFano, encode
 from tidewheel.llm.tokens import encoder
 
 END_ID = 0
+#: Words and runs of letters whose ids a worker keeps: this tokenizer cuts words off with and without a space, so it needs more.
+CACHE = (500_000, 700_000)
 #: Ids and documents of a batch of rows that the reader hands on.
 _READ_IDS, _READ_DOCS = 1 << 20, 1024
 
@@ -50,7 +52,7 @@ def _filesystem(uri: str):
 
 def _write_shard(path: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        words, shard = encoder(tokenizer, CACHE), TaskContext.get().partitionId()
         width = 2 if max(words.vocabulary - 1, end_id) < 1 << 16 else 4
         files, root = _filesystem(path)
         end, name = end_id.to_bytes(4, "little"), f"{root}/{shard:06d}"

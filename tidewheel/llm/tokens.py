@@ -23,8 +23,8 @@ from tidewheel.llm.common import resident
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words, and runs of letters, whose ids a Python worker keeps: some 200 bytes each.
-CACHE_WORDS, CACHE_RUNS = 300_000, 450_000
+#: Words, and runs of letters, whose ids a Python worker keeps unless more are asked for: some 200 bytes each.
+CACHE = (300_000, 450_000)
 #: Runs of letters that are encoded as one text.
 _RUNS = 4096
 #: Marks that never join the letters before them: ASCII punctuation but the apostrophe of contractions.
@@ -49,15 +49,15 @@ def _trimmed(cache: dict, most: int) -> dict:
     return cache if len(cache) <= most else dict(itertools.islice(cache.items(), most // 3))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: tuple[int, int] = CACHE) -> Encoder:
     """The process's encoder for a file: a Python worker keeps its words from task to task."""
-    return resident(("encoder", path), lambda: Encoder(path))
+    return resident(("encoder", path, cache), lambda: Encoder(path, cache))
 
 
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: tuple[int, int] = CACHE):
         import json
 
         from tokenizers import Tokenizer
@@ -67,6 +67,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         state = json.loads(self.tokenizer.to_str())
         self.kind = _kind(state)
+        self.most_words, self.most_runs = cache
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         #: Ids of runs of letters, behind a space and not; and of marks behind a run.
@@ -122,8 +123,8 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        self.first, self.spaced = _trimmed(self.first, CACHE_WORDS), _trimmed(self.spaced, CACHE_WORDS)
-        self.runs = {before: _trimmed(runs, CACHE_RUNS) for before, runs in self.runs.items()}
+        self.first, self.spaced = _trimmed(self.first, self.most_words), _trimmed(self.spaced, self.most_words)
+        self.runs = {before: _trimmed(runs, self.most_runs) for before, runs in self.runs.items()}
         first, spaced = self.first.__getitem__, self.spaced.__getitem__
         if self.kind == "dropped":
             split = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") if text else [] for text in texts]
