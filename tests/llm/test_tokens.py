@@ -68,6 +68,18 @@ def test_cuts_are_gapless(n):
     assert at == n
 
 
+@pytest.mark.parametrize("rows", [corpus(), []])
+def test_buckets_hold_equal_lengths(spark, make, tmp_path, rows):
+    packed = packing.pack(make(rows))
+    path = str(tmp_path / "buckets")
+    found = packing.write_buckets(packed, path)
+    columns = packed.columns
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, packed.collect()))
+    for folder in (tmp_path / "buckets").glob("length=*"):
+        own = spark.read.parquet(str(folder)).selectExpr("octet_length(ids) / 4 AS n").distinct().collect()
+        assert [r["n"] for r in own] == [int(folder.name.removeprefix("length="))]
+
+
 def test_op4_reads_back_what_the_library_says(spark, make, table):
     rows = corpus()
     found = queries.op4_token_files(spark, table(documents=make(rows))).collect()

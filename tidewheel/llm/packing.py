@@ -77,3 +77,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, mo
         raise ValueError("most must be a power of two")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_pack(tokenizer or default_tokenizer(), end_id, most), SCHEMA)
+
+
+def write_buckets(packed: DataFrame, path: str) -> DataFrame:
+    """Writes the rows of pack() to a folder for each length, and returns them read again.
+
+    Whoever reads one length's folder has sequences of one shape. Each task writes its rows
+    where they belong: no shuffle, and no task has all of a common length. An empty table has no folders.
+    """
+    packed.write.partitionBy("length").parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
