@@ -143,3 +143,17 @@ def test_elias_fano_of_large_gaps_and_space():
     assert len(EliasFano(encode(np.zeros(0, np.int64)))) == 0
     with pytest.raises(ValueError):
         encode(np.array([2, 1]))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_distinct_units_are_encoded_once_and_dropped_units_again(name):
+    """Words with other marks behind them share their ids; a full cache changes no id."""
+    rng, whole = random.Random(4), plain(name)
+    words = ["".join(rng.choices("abcdefgäßñÉ", k=rng.randrange(1, 9))) for _ in range(400)]
+    texts = [None, "", *[" ".join(rng.choice(words) + rng.choice(["", ",", ".\n", "!)"]) for _ in range(60)).replace("\n ", "\n") for _ in range(40)], "two  spaces"]
+    encoder, small = Encoder(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name), 50)
+    expected = [whole(text) for text in texts]
+    assert [list(array("I", x)) for x in encoder.encode_all(texts)] == expected
+    assert len(encoder.units) <= 2 * len(set(words)) + 8
+    for at in range(0, len(texts), 5):
+        assert [list(array("I", x)) for x in small.encode_all(texts[at : at + 5])] == expected[at : at + 5]

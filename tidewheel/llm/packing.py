@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidewheel.llm.common import text_slices
-from tidewheel.llm.tokens import encoder
+from tidewheel.llm.tokens import BATCH, encoder
 
 MOST = 2048
 END_ID = 1
@@ -50,7 +50,7 @@ def _pack(path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, ordinals = encoder(path).encode_all, TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, *BATCH):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 ids += end

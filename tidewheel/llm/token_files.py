@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import fresh_path, text_slices
 from tidewheel.llm.elias_fano import EliasFano, encode
-from tidewheel.llm.tokens import encoder
+from tidewheel.llm.tokens import BATCH, encoder
 
 END_ID = 0
-#: Words and runs of letters whose ids a worker keeps: this tokenizer cuts words off with and without a space, so it needs more.
-CACHE = (500_000, 700_000)
+#: Units whose ids a worker keeps: this tokenizer has words with and without a space, so it needs more.
+CACHE = 1_000_000
 #: Ids and documents of a batch of rows that the reader hands on.
 _READ_IDS, _READ_DOCS = 1 << 20, 1024
 
@@ -58,7 +58,7 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
         end, name = end_id.to_bytes(4, "little"), f"{root}/{shard:06d}"
         temporary = f"{root}/_writing-{shard:06d}-{uuid.uuid4().hex}"
         lengths, docs, out = [0], [], None
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, *BATCH):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(batch.column("text").to_pylist()), strict=True):
                 ids += end
                 if out is None:
